@@ -1,5 +1,9 @@
 """Spark-native engine for building and querying a text knowledge base."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from pagelore.config import (
     AnswerConfig,
     ChunkConfig,
@@ -19,3 +23,6 @@ __all__ = [
     "SearchConfig",
     "build_session",
 ]
+
+# Functions of this package travel inside the tasks, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
