@@ -192,7 +192,10 @@ def chunk_documents(documents: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> D
         document_chunks(F.col("sections"), cfg).alias("_chunks"),
     )
     kept = [c for c in head.columns if c != "_chunks"]
-    rows = head.select(*kept, F.posexplode("_chunks").alias("chunk_index", "_chunk"))
+    # The outer form keeps the optimizer from evaluating the whole array once more for
+    # a "not empty" filter below the explode.
+    rows = head.select(*kept, F.posexplode_outer("_chunks").alias("chunk_index", "_chunk"))
+    rows = rows.filter(F.col("_chunk").isNotNull())
     hashed = rows.withColumn("chunk_hash", sha256(F.col("_chunk.text")))
     return hashed.select(
         *extra,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelore.operators.joins import HOT_ROWS, join_unique
+
 
 def first_per_key(df: DataFrame, keys: list[Column | str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of every key in the given order.
@@ -16,35 +18,11 @@ def first_per_key(df: DataFrame, keys: list[Column | str], order: list[Column],
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def repeated_groups(
-    df: DataFrame, key: str, member: str, hot_rows: int = 1_000_000, salts: int = 64
-) -> DataFrame:
+def repeated_groups(df: DataFrame, key: str, member: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every member of every key that occurs more than once, with the group size.
 
-    One row per member, so no group is ever gathered. Sizes come from a partially
-    aggregated count. Keys above ``hot_rows`` (there are at most rows / hot_rows of
-    them, and they are only broadcast when few) are spread over ``salts`` join keys.
+    One row per member, so no group is ever gathered in one place.
     """
     members = df.select(F.col(key).alias("key"), F.col(member).alias("member"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    hot = sizes.filter(F.col("group_size") >= hot_rows).select("key")
-    many = 10_000
-    hot_keys = [r.key for r in hot.limit(many + 1).collect()]
-    if not hot_keys or len(hot_keys) > many:
-        # No hot key, or so many that the rows spread over the tasks by themselves.
-        return members.join(sizes, "key")
-    spark = df.sparkSession
-    marked = F.broadcast(
-        spark.createDataFrame([(k, True) for k in hot_keys], members.select("key").schema.add("hot", "boolean"))
-    )
-    salted = members.join(marked, "key", "left").withColumn(
-        "salt",
-        F.when(F.col("hot"), F.pmod(F.xxhash64("member"), F.lit(salts))).otherwise(F.lit(0)),
-    )
-    copies = F.when(F.col("group_size") >= hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), copies)).cast("long"))
-    return (
-        salted.withColumn("salt", F.col("salt").cast("long"))
-        .join(spread, ["key", "salt"])
-        .select("key", "member", "group_size")
-    )
+    return join_unique(members, sizes, "key", "member", hot_rows=hot_rows)

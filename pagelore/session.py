@@ -15,6 +15,8 @@ _CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.showConsoleProgress": "false",
+    # Recording a call site for every expression makes large plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
