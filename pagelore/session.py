@@ -44,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else writes to."""
+    return f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -51,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     filter pushdown for every later use.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,0 +1,74 @@
+"""Running the stages continuously: new pages into points, questions into answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pagelore.config import AnswerConfig, ChunkConfig, CrawlConfig, SearchConfig
+from pagelore.operators.extract import extract_pages
+from pagelore.operators.frontier import latest_documents
+from pagelore.operators.points import read_points, upsert_points, write_points
+from pagelore.plans.chat import answer_questions
+from pagelore.plans.corpus import chunk_corpus, embed_corpus, validate_corpus
+from pagelore.session import materialize
+
+
+def _exists(spark, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema
+    except Exception:
+        return False
+    return True
+
+
+def pages_into_points(
+    pages: DataFrame,
+    points_path: str,
+    checkpoint: str,
+    encoder,
+    site: CrawlConfig,
+    chunking: ChunkConfig = ChunkConfig(),
+    **trigger,
+) -> StreamingQuery:
+    """Extract, validate, chunk and embed new pages and merge them into the point table.
+
+    Point ids depend on document and text alone, so a repeated batch changes nothing.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        extracted = extract_pages(batch).filter(F.col("word_count") >= site.min_document_words)
+        documents = materialize(latest_documents(extracted), "stream-documents")
+        manifest = validate_corpus(documents, site).manifest
+        points = embed_corpus(chunk_corpus(manifest, documents, chunking).chunks, encoder)
+        if _exists(batch.sparkSession, points_path):
+            upsert_points(points, points_path)
+        else:
+            write_points(points, points_path)
+
+    writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def questions_into_answers(
+    questions: DataFrame,
+    points_path: str,
+    answers_path: str,
+    checkpoint: str,
+    encoder,
+    generator=None,
+    search_cfg: SearchConfig = SearchConfig(),
+    cfg: AnswerConfig = AnswerConfig(),
+    **trigger,
+) -> StreamingQuery:
+    """Answer every arriving question (query_id, question); one folder per batch."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        asked = materialize(batch.select("query_id", "question"), "stream-questions")
+        points = read_points(batch.sparkSession, points_path)
+        answers = answer_questions(points, asked, encoder, generator, search_cfg, cfg)
+        answers.write.mode("overwrite").parquet(f"{answers_path}/batch={number}")
+
+    writer = questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
