@@ -338,12 +338,24 @@ def _(spark, folder):
     return text_table(spark, folder).select("doc_id", render_answer(marked).alias("html"))
 
 
-@query("render_tables")
+# Every document as one pipe table of its lines; a line gives up its own pipes.
+_CELL = S.strip(_BOLD.replace("replace(text,", "replace(replace(line, '|', ' '),", 1))
+_ROW = f"'<tr><td>' || (i + 1) || '</td><td>' || {_CELL} || '</td></tr>'"
+
+
+@query(
+    "render_tables",
+    f"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line
+      FROM documents, unnest(range(len(string_split(text, chr(10))))) AS u(i))
+    SELECT doc_id, '<div class="response-table-wrapper"><table class="response-table"><thead><tr><th>no</th><th>line</th></tr></thead><tbody>'
+      || string_agg({_ROW}, '' ORDER BY i) || '</tbody></table></div>' AS html FROM l GROUP BY doc_id""",
+)
 def _(spark, folder):
-    """Every conversation as one pipe table of its turns, rendered."""
-    turns = table(spark, folder, "conversations")
-    line = F.concat(F.lit("| "), "role", F.lit(" | "), F.regexp_replace("text", r"[|\n]", " "), F.lit(" |"))
-    # A conversation is one row of the answer by definition; its turns are few.
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
-    whole = F.concat(F.lit("| who | what |\n|---|---|\n"), F.array_join(F.transform("t", lambda t: t["line"]), "\n"))
-    return rows.select("conv_id", render_answer(whole).alias("html"))
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda v, i: F.concat(
+            F.lit("| "), (i + 1).cast("string"), F.lit(" | "), F.replace(v, F.lit("|"), F.lit(" ")), F.lit(" |")
+        ),
+    )
+    whole = F.concat(F.lit("| no | line |\n|---|---|\n"), F.array_join(lines, "\n"))
+    return text_table(spark, folder).select("doc_id", render_answer(whole).alias("html"))

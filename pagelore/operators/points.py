@@ -9,6 +9,7 @@ from pagelore.functions.ids import point_id
 from pagelore.operators.embedding import require_fields
 from pagelore.operators.first_wins import first_per_key
 from pagelore.schemas import PAYLOAD_NUMBER_FIELDS, PAYLOAD_TEXT_FIELDS
+from pagelore.session import materialize
 
 BUCKETS = 256
 
@@ -62,12 +63,24 @@ def _bucket():
     return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
 
 
-def write_points(points: DataFrame, path: str) -> None:
-    """(Re)build the table: one folder per id bucket, pages clustered inside files."""
-    (
+def _arranged(points: DataFrame, files_per_bucket: int) -> DataFrame:
+    """Rows laid out for writing: ids spread evenly over buckets, pages clustered in files."""
+    part = F.pmod(F.xxhash64("url", "id"), F.lit(files_per_bucket))
+    return (
         points.withColumn("bucket", _bucket())
-        .repartition("bucket", F.pmod(F.xxhash64("url", "id"), F.lit(64)))
+        .repartition("bucket", part)
         .sortWithinPartitions("bucket", "url", "id")
+    )
+
+
+def write_points(points: DataFrame, path: str, files_per_bucket: int = 1) -> None:
+    """(Re)build the table: one folder per id bucket.
+
+    ``files_per_bucket`` should grow with the table, to about its bytes divided by
+    ``BUCKETS`` times the wanted file size.
+    """
+    (
+        _arranged(points, files_per_bucket)
         .write.option("partitionOverwriteMode", "static")
         .mode("overwrite")
         .partitionBy("bucket")
@@ -79,16 +92,17 @@ def read_points(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def upsert_points(new: DataFrame, path: str, order: str | None = None) -> None:
+def upsert_points(
+    new: DataFrame, path: str, order: str | None = None, files_per_bucket: int = 1
+) -> None:
     """Merge new points into a stored table, rewriting only the buckets they fall in.
 
     The merged rows are staged in the shared folder first, so a bucket is never
     read while it is being replaced.
     """
-    from pagelore.session import materialize
-
     spark = new.sparkSession
     fresh = materialize(new.withColumn("bucket", _bucket()), "new-points")
+    # At most BUCKETS values.
     touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
     if not touched:
         return
@@ -96,10 +110,8 @@ def upsert_points(new: DataFrame, path: str, order: str | None = None) -> None:
     old = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
     merged = materialize(latest_points(old, fresh.drop("bucket"), order), "merged-points")
     (
-        merged.withColumn("bucket", _bucket())
+        _arranged(merged, files_per_bucket)
         .select(*stored.columns)
-        .repartition("bucket", F.pmod(F.xxhash64("url", "id"), F.lit(64)))
-        .sortWithinPartitions("bucket", "url", "id")
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .partitionBy("bucket")
@@ -107,6 +119,18 @@ def upsert_points(new: DataFrame, path: str, order: str | None = None) -> None:
     )
 
 
+def index_points(
+    points: DataFrame, path: str, dimension: int, rebuild: bool = True, files_per_bucket: int = 1
+) -> DataFrame:
+    """Store points, from scratch or merged into what is there, and verify the table."""
+    if rebuild:
+        stored = materialize(points, "points")
+        write_points(latest_points(stored.limit(0), stored), path, files_per_bucket)
+        return verify_points(points.sparkSession, path, dimension, stored.count())
+    upsert_points(points, path, files_per_bucket=files_per_bucket)
+    return verify_points(points.sparkSession, path, dimension)
+
+
 def verify_points(spark, path: str, dimension: int, expected: int | None = None) -> DataFrame:
     """One status row; raises if the table is not what was to be stored."""
     status = (

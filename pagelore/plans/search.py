@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.config import SearchConfig
 from pagelore.functions.text import strip
 from pagelore.operators.diversity import select_diverse
+from pagelore.operators.joins import join_unique
 from pagelore.operators.nearest import nearest_points
 from pagelore.operators.ranking import (
     coverage_anchors,
@@ -18,6 +19,7 @@ from pagelore.operators.ranking import (
     lexical_overlap,
     rerank_score,
 )
+from pagelore.session import materialize
 
 RESULT_FIELDS = (
     "id", "score", "chunk_id", "document_id", "chunk_hash", "title", "url", "canonical_url",
@@ -56,13 +58,17 @@ def semantic_results(points: DataFrame, questions: DataFrame, cfg: SearchConfig)
     """The ``candidate_k`` nearest points of every question with their payload.
 
     The similarity scan reads ids and vectors only; texts are fetched afterwards for
-    the few points that were found, by broadcasting those ids while they are few.
+    the points that were found: by broadcasting those ids while they are few, else by
+    a join that spreads points found by very many questions.
     """
     top = nearest_points(
         points, questions, cfg.candidate_k, cfg.score_decimals, cfg.question_block_bytes
     )
-    few = questions.count() * cfg.candidate_k <= cfg.broadcast_rows
-    found = result_rows(points).join(F.broadcast(top) if few else top, "id")
+    rows = result_rows(points)
+    if questions.count() * cfg.candidate_k <= cfg.broadcast_rows:
+        found = rows.join(F.broadcast(top), "id")
+    else:
+        found = join_unique(materialize(top, "nearest"), rows, "id", "query_id")
     return found.withColumnRenamed("rank", "input_pos")
 
 
@@ -108,11 +114,12 @@ def rerank(rows: DataFrame, cfg: SearchConfig) -> DataFrame:
 def search(points: DataFrame, questions: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Ranked results of every question.
 
-    ``questions`` has ``query_id``, ``question`` and ``vector``; ``points`` is the
-    point table, read by every step and therefore stored, not computed. The result
+    ``questions`` has ``query_id`` (unique), ``question`` and ``vector``; ``points`` is
+    the point table, read by every step and therefore stored, not computed. The result
     has one row per picked chunk with ``pick`` as its place, and no vectors.
     """
-    asked = prepare_questions(questions, cfg)
+    # Stored, because the vectors of the questions are needed more than once.
+    asked = materialize(prepare_questions(questions, cfg), "questions")
     rows = drop_duplicate_results(candidates(points, asked, cfg))
     if cfg.intent.coverage_urls:
         rows = keep_coverage_if_any(rows, cfg.intent)

@@ -18,6 +18,9 @@ ANSWER = (
     " content_type string, error string"
 )
 
+# Pages held in memory before they are handed on.
+_PAGES_AT_ONCE = 64
+
 
 def http_get(url: str, headers: dict[str, str], timeout: float) -> dict:
     """One GET with redirects; raises on an error status."""
@@ -49,8 +52,8 @@ def fetch_over_http(
     columns = [c.strip().split(" ")[0] for c in ANSWER.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for url in batch["url"]:
                 row = dict.fromkeys(columns)
                 row["url"] = url
@@ -59,8 +62,12 @@ def fetch_over_http(
                 except Exception as exc:  # every failure is data
                     row["error"] = f"{type(exc).__name__}: {exc}"
                 rows.append(row)
+                if len(rows) == _PAGES_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
                 if pause > 0:
                     time.sleep(pause)
+        if rows:
             yield pd.DataFrame(rows, columns=columns)
 
     return frontier.select("url").repartition(tasks, "url").mapInPandas(run, ANSWER)
