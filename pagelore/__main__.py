@@ -20,7 +20,7 @@ from pagelore.config import AnswerConfig, CrawlConfig, EmbedConfig, IntentConfig
 from pagelore.operators.answering import results_report
 from pagelore.operators.embedding import HashedWords, embed_chunks, verify_embeddings
 from pagelore.operators.frontier import crawl, crawl_counts, crawl_metadata, latest_documents
-from pagelore.operators.points import build_points, health, index_points, read_points
+from pagelore.operators.points import BUCKETS, build_points, health, index_points, read_points
 from pagelore.plans.chat import answer_questions, embed_questions
 from pagelore.plans.corpus import chunk_corpus, validate_corpus
 from pagelore.plans.search import search
@@ -42,6 +42,7 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--documents", help="folder of documents, one JSON file each")
     parser.add_argument("--dimension", type=int, default=EmbedConfig.dimension)
     parser.add_argument("--keep", action="store_true", help="merge into the point table")
+    parser.add_argument("--buckets", type=int, default=BUCKETS)
     parser.add_argument("--files-per-bucket", type=int, default=1)
     parser.add_argument("--questions", help="JSON lines with query_id and question")
     parser.add_argument("--top-k", type=int, default=SearchConfig.top_k)
@@ -91,7 +92,7 @@ def main() -> None:
     elif args.stage == "index":
         points = build_points(tables.read_embeddings(spark, f"{out}/embeddings"), args.dimension)
         index_points(
-            points, f"{out}/points", args.dimension, not args.keep, args.files_per_bucket
+            points, f"{out}/points", args.dimension, not args.keep, args.buckets, args.files_per_bucket
         ).show(truncate=False)
     elif args.stage == "health":
         health(spark, f"{out}/points").show(truncate=False)

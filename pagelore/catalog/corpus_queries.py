@@ -18,6 +18,7 @@ from pagelore.catalog.inputs import (
 from pagelore.catalog.registry import query
 from pagelore.config import ChunkConfig
 from pagelore.functions.ids import sha256
+from pagelore.functions.text import section_text
 from pagelore.operators.chunking import (
     chunk_statistics,
     dedupe_chunks,
@@ -26,7 +27,7 @@ from pagelore.operators.chunking import (
 )
 from pagelore.operators.embedding import embed_chunks, embedding_report
 from pagelore.operators.first_wins import repeated_groups
-from pagelore.operators.points import latest_points
+from pagelore.operators.points import index_points, latest_points, read_points
 from pagelore.operators.validation import (
     build_manifest,
     entry_outcomes,
@@ -34,6 +35,8 @@ from pagelore.operators.validation import (
     manifest_header,
     resolve_entries,
 )
+from pagelore.session import new_folder
+from pagelore.sources import tables
 
 
 def _manifest(spark, folder):
@@ -314,3 +317,68 @@ def _(spark, folder):
         (-F.col("item_id") - 1).alias("id"), F.lit("benchmark").alias("state"), F.length("text").cast("long").alias("value")
     )
     return latest_points(old, labelled.unionByName(added))
+
+
+@query(
+    "section_text",
+    S.with_tables("lines_of", "")
+    + f""", t AS (
+      SELECT doc_id, i, CASE WHEN i > 0 THEN {S.clean('line')} WHEN {S.clean('line')} = '' THEN title
+        ELSE title || chr(10) || {S.clean('line')} || chr(10) || title || chr(10) || {S.clean('line')} END AS section FROM lines_of)
+    SELECT doc_id, sha256(string_agg(section, chr(1) ORDER BY i)) AS sections_hash, count(*)::BIGINT AS sections FROM t GROUP BY 1""",
+)
+def _(spark, folder):
+    texts = F.transform("sections", lambda s: section_text(s))
+    return document_records(spark, folder).select(
+        "doc_id",
+        sha256(F.array_join(texts, "\x01")).alias("sections_hash"),
+        F.size("sections").cast("long").alias("sections"),
+    )
+
+
+@query(
+    "document_files",
+    S.with_tables(
+        "docs",
+        """SELECT regexp_replace(source || '__' || doc_id, '[^a-z0-9_]', '_', 'g') || '__' || substr(sha256(canonical_url), 1, 16) || '.json' AS file,
+      canonical_url AS url, title, len(string_split(text, chr(10)))::BIGINT AS sections, sha256(text) AS content_hash FROM docs""",
+    ),
+)
+def _(spark, folder):
+    """Documents written as JSON lines and read back."""
+    path = new_folder(spark, "document-files")
+    docs = document_records(spark, folder).drop("file", "doc_id").withColumn("url", F.col("canonical_url"))
+    tables.write_documents(docs, path)
+    return tables.read_documents(spark, path).select(
+        "file", "url", "title", F.size("sections").cast("long").alias("sections"), sha256(F.col("content")).alias("content_hash")
+    )
+
+
+@query("chunk_files", S.with_tables("chunks", f"{_CHUNK_SELECT} FROM chunks"))
+def _(spark, folder):
+    """Chunks written as JSON lines and read back with their required fields checked."""
+    path = new_folder(spark, "chunk-files")
+    tables.write_chunks(document_chunks(spark, folder).drop("position"), path)
+    return _long(tables.read_chunks(spark, path), *_SHOWN)
+
+
+@query(
+    "point_files",
+    S.with_tables("points", "SELECT id, chunk_id, url, CASE WHEN source_row THEN 'again' ELSE title END AS title FROM (SELECT *, section_level = 1 AS source_row FROM points)"),
+)
+def _(spark, folder):
+    """The point table written, partly replaced by an upsert, and read back."""
+    path = new_folder(spark, "point-files")
+    index_points(points(spark, folder), path, DIMENSION, buckets=16)
+    changed = points(spark, folder).filter("section_level = 1").withColumn("title", F.lit("again"))
+    index_points(changed, path, DIMENSION, rebuild=False)
+    return read_points(spark, path).select("id", "chunk_id", "url", "title")
+
+
+@query(
+    "manifest_warnings",
+    S.with_tables("docs", f"SELECT file, url, word_count FROM docs WHERE word_count <= 0 OR {_MISMATCH}"),
+)
+def _(spark, folder):
+    warned = _manifest(spark, folder).filter("status = 'warning'")
+    return warned.select("file", "url", F.col("word_count").cast("long").alias("word_count"))

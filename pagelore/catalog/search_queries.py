@@ -25,6 +25,7 @@ from pagelore.operators.answering import (
     build_context,
     results_report,
     user_prompt,
+    valid_question,
 )
 from pagelore.operators.diversity import select_diverse
 from pagelore.operators.nearest import nearest_points
@@ -338,6 +339,15 @@ def _(spark, folder):
     return text_table(spark, folder).select("doc_id", render_answer(marked).alias("html"))
 
 
+@query(
+    "question_check",
+    f"SELECT doc_id, length(text) <= 2000 AND {S.strip('text')} <> '' AS valid FROM documents",
+)
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", valid_question(F.col("text"), AnswerConfig()).alias("valid"))
+
+
 # Every document as one pipe table of its lines; a line gives up its own pipes.
 _CELL = S.strip(_BOLD.replace("replace(text,", "replace(replace(line, '|', ' '),", 1))
 _ROW = f"'<tr><td>' || (i + 1) || '</td><td>' || {_CELL} || '</td></tr>'"

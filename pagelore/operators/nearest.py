@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pagelore.operators.first_wins import first_per_key
 from pagelore.session import materialize
 
+# Scores held at once by a task, and partial results that may reach the shuffle.
 _CELLS = 4_000_000
+_PARTIAL_ROWS = 1_000_000_000
 
 
 def _as_matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
@@ -53,7 +55,6 @@ def _scanner(questions, dimension: int, k: int, decimals: int):
         best = (np.empty(0, np.int64), np.empty(0), np.empty(0, "U1"))
         floor = np.full(count, -np.inf)
         for batch in batches:
-            idents = np.asarray(batch.column(0).to_pylist(), dtype=str)
             points = _as_matrix(batch.column(1), dimension)
             for at in range(0, len(points), rows_at_once):
                 # Adding zero turns a rounded -0.0 into 0.0.
@@ -65,10 +66,13 @@ def _scanner(questions, dimension: int, k: int, decimals: int):
                 row, question = np.nonzero(scores >= bar)
                 if not len(row):
                     continue
+                # Ids are only decoded for the few rows that got this far.
+                hit, place = np.unique(row, return_inverse=True)
+                idents = np.asarray(batch.column(0).take(pa.array(at + hit)).to_pylist(), dtype=str)
                 best = _best(
                     np.concatenate([best[0], question]),
                     np.concatenate([best[1], scores[row, question]]),
-                    np.concatenate([best[2], idents[at + row]]),
+                    np.concatenate([best[2], idents[place]]),
                     k,
                 )
                 sizes = np.bincount(best[0], minlength=count)
@@ -114,7 +118,8 @@ def nearest_points(
         return empty
     blocks = -(-size.n * size.d * 8 // block_bytes)
     context = spark.sparkContext
-    tasks = tasks or 4 * context.defaultParallelism
+    # Every task sends up to k rows per question, so many questions call for longer tasks.
+    tasks = tasks or max(4 * context.defaultParallelism, _PARTIAL_ROWS // (size.n * k))
     scanned = points.select(F.col("id").cast("string").alias("id"), "vector").coalesce(tasks)
 
     def one_block(number: int) -> DataFrame | None:

@@ -12,6 +12,7 @@ from pagelore.schemas import PAYLOAD_NUMBER_FIELDS, PAYLOAD_TEXT_FIELDS
 from pagelore.session import materialize
 
 BUCKETS = 256
+DISTANCE = "cosine"
 
 
 def build_points(embedded: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -59,50 +60,79 @@ def latest_points(old: DataFrame, new: DataFrame, order: str | None = None) -> D
     return first_per_key(both, ["id"], [F.col("_seq").desc_nulls_last()]).drop("_seq")
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+_TABLE = "dimension int, distance string, buckets int, files_per_bucket int"
 
 
-def _arranged(points: DataFrame, files_per_bucket: int) -> DataFrame:
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def _arranged(points: DataFrame, buckets: int, files_per_bucket: int) -> DataFrame:
     """Rows laid out for writing: ids spread evenly over buckets, pages clustered in files."""
     part = F.pmod(F.xxhash64("url", "id"), F.lit(files_per_bucket))
     return (
-        points.withColumn("bucket", _bucket())
+        points.withColumn("bucket", _bucket(buckets))
         .repartition("bucket", part)
         .sortWithinPartitions("bucket", "url", "id")
     )
 
 
-def write_points(points: DataFrame, path: str, files_per_bucket: int = 1) -> None:
-    """(Re)build the table: one folder per id bucket.
+def write_points(
+    points: DataFrame, path: str, dimension: int, buckets: int = BUCKETS, files_per_bucket: int = 1
+) -> None:
+    """(Re)build the table: one folder per id bucket, and a note on what it holds.
 
     ``files_per_bucket`` should grow with the table, to about its bytes divided by
-    ``BUCKETS`` times the wanted file size.
+    ``buckets`` times the wanted file size.
     """
     (
-        _arranged(points, files_per_bucket)
+        _arranged(points, buckets, files_per_bucket)
         .write.option("partitionOverwriteMode", "static")
         .mode("overwrite")
         .partitionBy("bucket")
         .parquet(path)
     )
+    describe_table(points.sparkSession, path, dimension, DISTANCE, buckets, files_per_bucket)
+
+
+def describe_table(
+    spark, path: str, dimension: int, distance: str, buckets: int, files_per_bucket: int
+) -> None:
+    """Note next to the data how its vectors are compared and its rows laid out."""
+    row = spark.createDataFrame([(dimension, distance, buckets, files_per_bucket)], _TABLE)
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/_table")
+
+
+def table_description(spark, path: str):
+    found = spark.read.schema(_TABLE).json(f"{path}/_table").first()
+    if found is None:
+        raise RuntimeError("the point table has no description")
+    return found
+
+
+def check_table(spark, path: str, dimension: int, distance: str = DISTANCE) -> None:
+    """Raise unless the stored table holds vectors of this size for this distance."""
+    found = table_description(spark, path)
+    if found.dimension != dimension:
+        raise RuntimeError(f"table dimension mismatch: {found.dimension} != {dimension}")
+    if found.distance != distance:
+        raise RuntimeError(f"table distance mismatch: {found.distance} != {distance}")
 
 
 def read_points(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def upsert_points(
-    new: DataFrame, path: str, order: str | None = None, files_per_bucket: int = 1
-) -> None:
+def upsert_points(new: DataFrame, path: str, order: str | None = None) -> None:
     """Merge new points into a stored table, rewriting only the buckets they fall in.
 
     The merged rows are staged in the shared folder first, so a bucket is never
     read while it is being replaced.
     """
     spark = new.sparkSession
-    fresh = materialize(new.withColumn("bucket", _bucket()), "new-points")
-    # At most BUCKETS values.
+    layout = table_description(spark, path)
+    fresh = materialize(new.withColumn("bucket", _bucket(layout.buckets)), "new-points")
+    # At most as many values as the table has buckets.
     touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
     if not touched:
         return
@@ -110,7 +140,7 @@ def upsert_points(
     old = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
     merged = materialize(latest_points(old, fresh.drop("bucket"), order), "merged-points")
     (
-        _arranged(merged, files_per_bucket)
+        _arranged(merged, layout.buckets, layout.files_per_bucket)
         .select(*stored.columns)
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
@@ -120,15 +150,27 @@ def upsert_points(
 
 
 def index_points(
-    points: DataFrame, path: str, dimension: int, rebuild: bool = True, files_per_bucket: int = 1
+    points: DataFrame,
+    path: str,
+    dimension: int,
+    rebuild: bool = True,
+    buckets: int = BUCKETS,
+    files_per_bucket: int = 1,
 ) -> DataFrame:
-    """Store points, from scratch or merged into what is there, and verify the table."""
+    """Store points, from scratch or merged into what is there, and verify the table.
+
+    The layout is chosen when the table is built; a merge keeps it.
+    """
+    spark = points.sparkSession
     if rebuild:
         stored = materialize(points, "points")
-        write_points(latest_points(stored.limit(0), stored), path, files_per_bucket)
-        return verify_points(points.sparkSession, path, dimension, stored.count())
-    upsert_points(points, path, files_per_bucket=files_per_bucket)
-    return verify_points(points.sparkSession, path, dimension)
+        write_points(
+            latest_points(stored.limit(0), stored), path, dimension, buckets, files_per_bucket
+        )
+        return verify_points(spark, path, dimension, stored.select("id").distinct().count())
+    check_table(spark, path, dimension)
+    upsert_points(points, path)
+    return verify_points(spark, path, dimension)
 
 
 def verify_points(spark, path: str, dimension: int, expected: int | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def pages_into_points(
         if _exists(batch.sparkSession, points_path):
             upsert_points(points, points_path)
         else:
-            write_points(points, points_path)
+            write_points(points, points_path, encoder.dimension)
 
     writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

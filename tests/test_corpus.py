@@ -134,7 +134,7 @@ def test_files_to_points(spark, folder, tmp_path):
     assert s.unique_chunks == chunks.count() and s.raw_chunks == s.unique_chunks + s.duplicate_chunks
     points = embed_corpus(chunks, HashedWords(EmbedConfig(dimension=8)))
     path = f"{out}/points"
-    P.write_points(points, path)
+    P.write_points(points, path, 8, buckets=4)
     assert P.verify_points(spark, path, 8, chunks.count()).first().points == chunks.count()
     P.upsert_points(points, path)
     P.verify_points(spark, path, 8, chunks.count())
@@ -150,6 +150,21 @@ def test_files_to_points(spark, folder, tmp_path):
         P.verify_points(spark, path, 9)
 
 
+def test_indexing_checks_what_is_stored(spark, tmp_path):
+    rows = [(f"c{i}", f"h{i}", "t", [1.0, float(i)]) for i in range(4)] + [("c0", "h0", "later", [1.0, 9.0])]
+    points = P.build_points(spark.createDataFrame(
+        rows, "chunk_id string, chunk_hash string, text string, embedding array<float>"), 2)
+    path = str(tmp_path / "points")
+    assert P.index_points(points, path, 2, buckets=3).first().points == 4
+    assert P.index_points(points.filter("chunk_id = 'c1'"), path, 2, rebuild=False).first().points == 4
+    assert P.read_points(spark, path).columns == points.columns
+    with pytest.raises(RuntimeError, match="dimension mismatch"):
+        P.index_points(points, path, 3, rebuild=False)
+    P.describe_table(spark, path, 2, "dot", 3, 1)
+    with pytest.raises(RuntimeError, match="distance mismatch"):
+        P.index_points(points, path, 2, rebuild=False)
+
+
 def test_manifest_file_shapes(spark, tmp_path):
     row = {"file": "a.json", "status": "valid", "errors": [], "document_id": "d1", "canonical_url": "c", "url": "u"}
     for name, body in (("o.json", {"manifest_version": "1.0", "documents": [row, row]}), ("l.json", [row, row])):
