@@ -97,6 +97,12 @@ def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     return _STORED[key]
 
 
+def forget(*kept: str) -> None:
+    """Drop the stored tables except those named, so that they are built again."""
+    for key in [k for k in _STORED if k[2] not in kept]:
+        del _STORED[key]
+
+
 def _build_points(spark: SparkSession, folder: str) -> DataFrame:
     chunks = dedupe_chunks(document_chunks(spark, folder)).drop("position")
     return build_points(embed_chunks(chunks, ENCODER), DIMENSION)

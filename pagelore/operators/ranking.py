@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelore.config import IntentConfig, SearchConfig
 from pagelore.functions.arrays import any_of, in_list, let
-from pagelore.functions.text import lexical_form, lexical_tokens, strip
+from pagelore.functions.text import lexical_form, lexical_tokens, lexical_words, strip
 from pagelore.operators.first_wins import first_per_key
 
 
@@ -45,17 +45,44 @@ def is_coverage_page(url: Column, intent: IntentConfig) -> Column:
     return in_list(page_key(url), coverage_keys(intent))
 
 
-def lexical_overlap(question: Column, title: Column, section: Column, text: Column) -> Column:
-    """Share of the question's distinct words that occur in title, section or text."""
-    searchable = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, section, text)])
+def _share(question: Column, words: Column) -> Column:
+    """Share of the question's distinct words among ``words``."""
 
     def share(q: Column) -> Column:
-        common = F.size(F.array_intersect(q, lexical_tokens(searchable)))
+        common = F.size(F.array_intersect(q, words))
         return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(common / F.size(q))
 
     return let(lexical_tokens(question), share)
 
 
+def _head_words(title: Column, section: Column) -> Column:
+    return lexical_words(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, section)]))
+
+
+def lexical_overlap(question: Column, title: Column, section: Column, text: Column) -> Column:
+    """Share of the question's distinct words that occur in title, section or text."""
+    return _share(question, F.concat(_head_words(title, section), lexical_words(text)))
+
+
+def with_lexical(results: DataFrame) -> DataFrame:
+    """Adds ``text_form`` and ``lexical_score``, splitting every result text only once.
+
+    ``text_form`` stands for the normalised text: empty for a blank one, else a digest.
+    """
+
+    def build(words: Column) -> Column:
+        form = F.array_join(words, " ")
+        head = _head_words(F.col("title"), F.col("section"))
+        return F.struct(
+            F.when(F.size(words) == 0, F.lit("")).otherwise(F.md5(form)).alias("text_form"),
+            _share(F.col("question"), F.concat(head, words)).alias("lexical_score"),
+        )
+
+    return results.withColumn("_lexical", let(lexical_words(F.col("text")), build)).select(
+        *results.columns, "_lexical.*"
+    )
+
+
 def rerank_score(
     vector_score: Column, overlap: Column, url: Column, title: Column, broad: Column, cfg: SearchConfig
 ) -> Column:
@@ -84,18 +111,18 @@ def drop_duplicate_results(results: DataFrame) -> DataFrame:
 
     Rows without an id or without text are never duplicates in that respect.
     """
-    by_id = Window.partitionBy("query_id", strip(F.coalesce("chunk_id", F.lit("")))).orderBy("input_pos")
-    seen = results.withColumn("_nth", F.row_number().over(by_id)).filter(
-        (F.col("_nth") == 1) | (strip(F.coalesce("chunk_id", F.lit(""))) == "")
-    )
-    # Long texts are compared by digest; an empty digest stands for a blank text.
-    form = let(lexical_form(F.col("text")), lambda t: F.when(t == "", t).otherwise(F.md5(t)))
-    by_text = Window.partitionBy("query_id", "_form").orderBy("input_pos")
+    if "text_form" not in results.columns:
+        form = let(lexical_form(F.col("text")), lambda t: F.when(t == "", t).otherwise(F.md5(t)))
+        return drop_duplicate_results(results.withColumn("text_form", form)).drop("text_form")
+    by_id = Window.partitionBy("query_id", "_id").orderBy("input_pos")
+    by_text = Window.partitionBy("query_id", "text_form").orderBy("input_pos")
     return (
-        seen.withColumn("_form", form)
+        results.withColumn("_id", strip(F.coalesce("chunk_id", F.lit(""))))
+        .withColumn("_nth", F.row_number().over(by_id))
+        .filter((F.col("_nth") == 1) | (F.col("_id") == ""))
         .withColumn("_nth", F.row_number().over(by_text))
-        .filter((F.col("_nth") == 1) | (F.col("_form") == ""))
-        .drop("_nth", "_form")
+        .filter((F.col("_nth") == 1) | (F.col("text_form") == ""))
+        .drop("_id", "_nth")
     )
 
 

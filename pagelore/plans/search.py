@@ -18,6 +18,7 @@ from pagelore.operators.ranking import (
     keep_coverage_if_any,
     lexical_overlap,
     rerank_score,
+    with_lexical,
 )
 from pagelore.session import materialize
 
@@ -100,8 +101,10 @@ def candidates(points: DataFrame, questions: DataFrame, cfg: SearchConfig) -> Da
 
 def rerank(rows: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Adds ``rerank_score`` and ``rerank_pos`` (1 is best; ties keep input order)."""
-    overlap = lexical_overlap(F.col("question"), F.col("title"), F.col("section"), F.col("text"))
-    scored = rows.withColumn("lexical_score", overlap).withColumn(
+    if "lexical_score" not in rows.columns:
+        overlap = lexical_overlap(F.col("question"), F.col("title"), F.col("section"), F.col("text"))
+        rows = rows.withColumn("lexical_score", overlap)
+    scored = rows.withColumn(
         "rerank_score",
         rerank_score(
             F.col("score"), F.col("lexical_score"), F.col("url"), F.col("title"), F.col("broad"), cfg
@@ -120,7 +123,7 @@ def search(points: DataFrame, questions: DataFrame, cfg: SearchConfig = SearchCo
     """
     # Stored, because the vectors of the questions are needed more than once.
     asked = materialize(prepare_questions(questions, cfg), "questions")
-    rows = drop_duplicate_results(candidates(points, asked, cfg))
+    rows = drop_duplicate_results(with_lexical(candidates(points, asked, cfg)))
     if cfg.intent.coverage_urls:
         rows = keep_coverage_if_any(rows, cfg.intent)
     ranked = rerank(rows, cfg)
