@@ -14,8 +14,6 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
-from pyspark.sql import functions as F
-
 from pagelore.config import AnswerConfig, CrawlConfig, EmbedConfig, IntentConfig, SearchConfig
 from pagelore.operators.answering import results_report
 from pagelore.operators.embedding import HashedWords, embed_chunks, verify_embeddings

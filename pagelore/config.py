@@ -194,8 +194,6 @@ class SearchConfig:
 class AnswerConfig:
     knowledge_base: str = "site"
     max_question_chars: int = 2000
-    temperature: float = 0.2
-    max_tokens: int = 1024
 
     @property
     def fallback(self) -> str:

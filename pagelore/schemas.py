@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-PAGE = "url string, html string, status_code int, encoding string"
-
 HEADING = "struct<level:int, text:string>"
 LINK = "struct<url:string, text:string>"
 SECTION = (

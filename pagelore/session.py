@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,6 +62,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table written round by round and read as one scan, however many rounds there are."""
+
+    def __init__(self, spark: SparkSession, name: str, number: str = "round") -> None:
+        self.spark, self.number = spark, number
+        self.path = new_folder(spark, name)
+        self.schema: T.StructType | None = None
+
+    def write(self, df: DataFrame, number: int) -> DataFrame:
+        """Store the rows of one round; the result carries the round as a column."""
+        path = f"{self.path}/{self.number}={number}"
+        df.write.parquet(path)
+        self.schema = T.StructType([*df.schema.fields, T.StructField(self.number, T.IntegerType())])
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work where the input has fewer splits than there are cores.
 

@@ -54,8 +54,8 @@ def test_every_question_gets_a_row(asked, results):
 
 def test_chat_generator_reports_failures_per_question(spark, asked, results):
     def load():
-        def ask(system, user):
-            assert "toy" in system
+        def ask(system, user, temperature, max_tokens):
+            assert "toy" in system and (temperature, max_tokens) == (0.2, 1024)
             if "fail" in user:
                 raise TimeoutError("slow")
             return "  " if "blank reply" in user else f" {user[-5:]} "

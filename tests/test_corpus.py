@@ -12,13 +12,10 @@ from pagelore.operators.first_wins import first_per_key, repeated_groups
 from pagelore.operators.joins import join_unique
 from pagelore.operators.validation import (
     build_manifest,
-    duplicate_members,
     entry_outcomes,
     manifest_documents,
-    manifest_header,
     resolve_entries,
     shadowed_files,
-    usable_entries,
 )
 from pagelore.plans.corpus import chunk_corpus, embed_corpus, validate_corpus
 from pagelore.schemas import DOCUMENT
