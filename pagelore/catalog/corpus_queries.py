@@ -382,3 +382,13 @@ def _(spark, folder):
 def _(spark, folder):
     warned = _manifest(spark, folder).filter("status = 'warning'")
     return warned.select("file", "url", F.col("word_count").cast("long").alias("word_count"))
+
+
+@query(
+    "point_verify",
+    S.with_tables("points", "SELECT count(*)::BIGINT AS points, 0::BIGINT AS wrong_size FROM points"),
+)
+def _(spark, folder):
+    """The status row of a freshly built point table."""
+    path = new_folder(spark, "point-files")
+    return index_points(points(spark, folder), path, DIMENSION, buckets=16)

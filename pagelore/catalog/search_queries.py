@@ -291,7 +291,25 @@ def _(spark, folder):
     return answered.select("query_id", "question", "answer", F.col("status_code").cast("long").alias("status_code"))
 
 
-@query("results_report")
+def _four(x: str) -> str:
+    return f"printf('%.4f', {x})"
+
+
+_ENTRY = f"""'Rank ' || pick || chr(10) || 'Vector score: ' || {_four('score')} || chr(10) || 'Rerank score: ' || {_four('rerank_score')}
+  || chr(10) || 'MMR score   : ' || {_four('mmr_score')} || chr(10) || 'Title: ' || title || chr(10) || 'Section: ' || section
+  || chr(10) || 'URL: ' || url || chr(10) || 'Text:' || chr(10) || text || chr(10) || chr(10) || repeat('-', 80) || chr(10)"""
+
+
+@query(
+    "results_report",
+    S.with_tables("picked", "")
+    + f""", entries AS (
+      SELECT query_id, string_agg({_ENTRY}, chr(10) ORDER BY pick) AS body, count(*) AS n FROM picked GROUP BY 1)
+    SELECT a.query_id, repeat('=', 80) || chr(10) || 'RETRIEVAL RESULTS' || chr(10) || repeat('=', 80) || chr(10) || 'Query       : '
+      || a.question || chr(10) || 'Results     : ' || coalesce(n, 0) || chr(10) || chr(10)
+      || coalesce(body, 'No relevant results found.' || chr(10) || repeat('=', 80)) AS report
+    FROM asked a LEFT JOIN entries e USING (query_id)""",
+)
 def _(spark, folder):
     return results_report(questions(spark, folder), _results(spark, folder))
 
