@@ -22,6 +22,8 @@ from pagelore.session import materialize
 # Scores held at once by a task, and partial results that may reach the shuffle.
 _CELLS = 4_000_000
 _PARTIAL_ROWS = 1_000_000_000
+# More hits than this per wanted row, and a block is cut down before it is sorted.
+_HITS_PER_RESULT = 4
 
 
 def _as_matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
@@ -54,24 +56,29 @@ def _scanner(questions, dimension: int, k: int, decimals: int):
         rows_at_once = max(1, _CELLS // max(count, 1))
         best = (np.empty(0, np.int64), np.empty(0), np.empty(0, "U1"))
         floor = np.full(count, -np.inf)
+        step = 10.0**-decimals
         for batch in batches:
             points = _as_matrix(batch.column(1), dimension)
             for at in range(0, len(points), rows_at_once):
-                # Adding zero turns a rounded -0.0 into 0.0.
-                scores = np.round(points[at : at + rows_at_once] @ matrix.T, decimals) + 0.0
-                bar = floor
-                if len(scores) > k:
-                    kth = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                    bar = np.maximum(floor, kth)
-                row, question = np.nonzero(scores >= bar)
+                scores = matrix @ points[at : at + rows_at_once].T
+                # Rounding moves a score by half a step at most, so anything a whole step
+                # below the k-th best so far is out. Only what is left gets rounded.
+                bar = floor - step
+                hits = scores >= bar[:, None]
+                if scores.shape[1] > k and np.count_nonzero(hits) > _HITS_PER_RESULT * k * count:
+                    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    hits = scores >= np.maximum(bar, kth - step)[:, None]
+                question, row = np.nonzero(hits)
                 if not len(row):
                     continue
+                # Adding zero turns a rounded -0.0 into 0.0.
+                kept = np.round(scores[question, row], decimals) + 0.0
                 # Ids are only decoded for the few rows that got this far.
                 hit, place = np.unique(row, return_inverse=True)
                 idents = np.asarray(batch.column(0).take(pa.array(at + hit)).to_pylist(), dtype=str)
                 best = _best(
                     np.concatenate([best[0], question]),
-                    np.concatenate([best[1], scores[row, question]]),
+                    np.concatenate([best[1], kept]),
                     np.concatenate([best[2], idents[place]]),
                     k,
                 )
