@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import language, quality_model
+from pagelore.llm import chat_format, language, mixing, quality_model
 from pagelore.llm.common import fold, table
 from pagelore.llm.quality_rules import quality_rules
 from pagelore.llm.registry import ORACLES, QUERIES, query
 
 
+@query(
+    "op3_chat_formatting",
+    r"""
+    WITH all_rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), shown AS (
+        SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*(\||/?s>|</?SYS>>))', '\1\\\2', 'g'),
+                                 '(\[)(\\*/?INST\])', '\1\\\2', 'g') AS escaped
+        FROM all_rows
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+           sum(length('<|start|>') + length(role) + length('<|body|>') + length(escaped) + length('<|end|>'))::BIGINT AS formatted_chars
+    FROM shown GROUP BY conv_id
+    """.replace("\\\\", "\\"),
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_messages(rows)).drop("n_attachments")
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +61,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def llm_queries():
     return dict(QUERIES)
 
