@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from pagelore.llm import chat_format, language, mixing, quality_model
 from pagelore.llm.common import fold, table
+from pagelore.llm.html_main import extract_main_text
 from pagelore.llm.quality_rules import quality_rules
 from pagelore.llm.registry import ORACLES, QUERIES, query
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op3_chat_formatting",
     r"""
@@ -29,7 +35,7 @@ from pagelore.llm.registry import ORACLES, QUERIES, query
            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
            sum(length('<|start|>') + length(role) + length('<|body|>') + length(escaped) + length('<|end|>'))::BIGINT AS formatted_chars
     FROM shown GROUP BY conv_id
-    """.replace("\\\\", "\\"),
+    """,
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
