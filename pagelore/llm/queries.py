@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm import chat_format, language, mixing, quality_model
 from pagelore.llm.common import fold, table
+from pagelore.llm.minhash import MinHashConfig, near_duplicates
 from pagelore.llm.html_main import extract_main_text
 from pagelore.llm.quality_rules import quality_rules
 from pagelore.llm.registry import ORACLES, QUERIES, query
@@ -42,6 +43,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_messages(rows)).drop("n_attachments")
 
 
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), MinHashConfig(words=3, percent=85))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
