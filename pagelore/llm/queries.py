@@ -11,6 +11,7 @@ from pagelore.llm.minhash import MinHashConfig, near_duplicates
 from pagelore.llm.html_main import extract_main_text
 from pagelore.llm.quality_rules import quality_rules
 from pagelore.llm.registry import ORACLES, QUERIES, query
+from pagelore.llm.suffix import suffix_dedup_report
 
 
 @query("op2_html_extraction")
@@ -79,6 +80,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def llm_queries():
     return dict(QUERIES)
 
