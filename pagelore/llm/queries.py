@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.llm import chat_format, language, mixing, quality_model
 from pagelore.llm.common import fold, table
 from pagelore.llm.minhash import MinHashConfig, near_duplicates
+from pagelore.llm.decontaminate import contaminated
 from pagelore.llm.html_main import extract_main_text
 from pagelore.llm.quality_rules import quality_rules
 from pagelore.llm.registry import ORACLES, QUERIES, query
@@ -60,6 +61,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
