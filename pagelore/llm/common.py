@@ -48,3 +48,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def small_or_shuffled(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """``df`` of narrow rows, marked for broadcast if it is known to have at most ``limit`` rows; else as it is."""
+    return F.broadcast(df) if rows <= limit else df

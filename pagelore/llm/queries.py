@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import chat_format, language, mixing, quality_model
+from pagelore.llm import chat_format, language, licence, mixing, quality_model
 from pagelore.llm.common import fold, table
 from pagelore.llm.minhash import MinHashConfig, near_duplicates
 from pagelore.llm.decontaminate import contaminated
@@ -15,6 +15,12 @@ from pagelore.llm.registry import ORACLES, QUERIES, query
 from pagelore.llm.suffix import suffix_dedup_report
 
 
+@query("op1_license_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licence.scan(docs, licence.train(docs))
+
+
 @query("op2_html_extraction")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))

@@ -406,7 +406,11 @@ def suffix_dedup_report(docs: DataFrame, config: SuffixConfig = SuffixConfig())
 
 
 def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """``docs`` with repeated spans cut out of ``text``, to whole characters; other columns stay."""
+    """``docs`` with repeated spans cut out of ``text``, to whole characters.
+
+    A document of which nothing but white space is left goes; one that had no words before
+    stays. Other columns stay as they are; rows with a null doc_id or text are left whole.
+    """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
@@ -420,8 +424,11 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             for s, e in whole_characters(raw, merge_spans(list(map(int, a)), list(map(int, b)), len(raw))):
                 left.append(raw[at:s])
                 at = e
-            out.append(b"".join([*left, raw[at:]]).decode("utf-8"))
+            rest = b"".join([*left, raw[at:]])
+            out.append(rest.decode("utf-8") if at and rest.strip() else None if at else text)
         return pd.Series(out, dtype="object")
 
-    marked = _with_marks(docs, config)
-    return marked.withColumn("text", cut("text", "_starts", "_stops")).select(*docs.columns)
+    marked = _with_marks(docs, config).withColumn("_cut", cut("text", "_starts", "_stops"))
+    return marked.where(F.col("_cut").isNotNull() | F.col("text").isNull()).select(
+        *[F.col("_cut").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    )
