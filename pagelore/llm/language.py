@@ -38,28 +38,30 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass
 class LanguageModel:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    #: Entry -> one number per language.
+    words: dict[str, tuple[float, ...]]
+    grams: dict[int, dict[str, tuple[float, ...]]]
     config: LanguageConfig
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[float]:
         padded = f"^{word}$"
         for order in self.config.orders:
             known = self.grams[order]
             found = [known[g] for g in (padded[i : i + order] for i in range(len(padded) - order + 1)) if g in known]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+                return [sum(column) / len(found) for column in zip(*found)]
+        return [0.0] * len(self.langs)
 
 
-def _log_table(counts: dict[str, Counter], langs: list[str], keep: dict[str, set]) -> dict[str, np.ndarray]:
+def _log_table(counts: dict[str, Counter], langs: list[str], keep: dict[str, set]) -> dict[str, tuple[float, ...]]:
     """Per entry, its smoothed log frequency in each language, less their mean."""
     entries = sorted(set().union(*keep.values())) if keep else []
     totals = [sum(counts[k].values()) + len(entries) + 1 for k in langs]
     out = {}
     for e in entries:
-        row = np.array([math.log((counts[k][e] + 0.5) / t) for k, t in zip(langs, totals)])
-        out[e] = (row - row.mean()).astype(np.float32)
+        row = [math.log((counts[k][e] + 0.5) / t) for k, t in zip(langs, totals)]
+        mean = sum(row) / len(row)
+        out[e] = tuple(x - mean for x in row)
     return out
 
 
@@ -69,7 +71,7 @@ def build(words: dict[str, Counter], config: LanguageConfig) -> LanguageModel:
         k: {w for w, n in sorted(words[k].items(), key=lambda x: (-x[1], x[0]))[: config.max_words] if n >= config.min_count}
         for k in langs
     }
-    grams: dict[int, dict[str, np.ndarray]] = {}
+    grams = {}
     for order in config.orders:
         counts: dict[str, Counter] = {k: Counter() for k in langs}
         for k in langs:
@@ -123,23 +125,21 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # Known words first, then unseen ones up to the cache's size.
+        table = np.zeros((len(model.words) + config.cache_words, len(model.langs)), dtype=np.float32)
         cache: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-
-        def reset() -> np.ndarray:
-            cache.clear()
-            rows.clear()
-            for w, v in model.words.items():
-                cache[w] = len(rows)
-                rows.append(v)
+        for i, (word, row) in enumerate(model.words.items()):
+            cache[word] = i
+            table[i] = row
 
         def number(word: str) -> int:
-            cache[word] = len(rows)
-            rows.append(model.unseen(word[:64]))
-            return len(rows) - 1
+            at = len(cache)
+            if at == len(table):
+                return -1
+            table[at] = model.unseen(word[:64])
+            cache[word] = at
+            return at
 
-        reset()
-        table = np.array(rows, dtype=np.float32).reshape(len(rows), len(model.langs))
         for batch in texts:
             names, scores = [], []
             for text in batch:
@@ -149,16 +149,20 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     scores.append(0.0)
                     continue
                 ids = [cache[w] if w in cache else number(w) for w in found]
-                if len(rows) > len(table):
-                    table = np.concatenate([table, np.array(rows[len(table):], dtype=np.float32)])
-                total = table[ids].sum(axis=0, dtype=np.float64)
+                if min(ids) < 0:
+                    # The cache is full: words beyond it are looked up for this text alone, then it starts anew.
+                    total = table[[i for i in ids if i >= 0]].sum(axis=0, dtype=np.float64)
+                    for word, i in zip(found, ids):
+                        if i < 0:
+                            total += model.unseen(word[:64])
+                    for word in list(cache)[len(model.words):]:
+                        del cache[word]
+                else:
+                    total = table[ids].sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())
                 total = np.exp((total - total[best]) / math.sqrt(len(ids)))
                 names.append(model.langs[best])
                 scores.append(float(total[best] / total.sum()))
-                if len(rows) > len(model.words) + config.cache_words:
-                    reset()
-                    table = np.array(rows, dtype=np.float32).reshape(len(rows), len(model.langs))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return docs.withColumn("_p", predict(F.col(text))).select(
