@@ -12,13 +12,14 @@ python -m pagelore answer --out work --questions questions.json
 from __future__ import annotations
 
 import argparse
+import importlib
 from datetime import datetime, timezone
 
 from pagelore.config import AnswerConfig, CrawlConfig, EmbedConfig, IntentConfig, SearchConfig
-from pagelore.operators.answering import results_report
-from pagelore.operators.embedding import HashedWords, embed_chunks, verify_embeddings
+from pagelore.operators.answering import ChatGenerator, results_report
+from pagelore.operators.embedding import HashedWords, ModelEncoder, embed_chunks, verify_embeddings
 from pagelore.operators.frontier import crawl, crawl_counts, crawl_metadata, latest_documents
-from pagelore.operators.points import BUCKETS, build_points, health, index_points, read_points
+from pagelore.operators.points import build_points, health, index_points, read_points
 from pagelore.plans.chat import answer_questions, embed_questions
 from pagelore.plans.corpus import chunk_corpus, validate_corpus
 from pagelore.plans.search import search
@@ -40,8 +41,8 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--documents", help="folder of documents, one JSON file each")
     parser.add_argument("--dimension", type=int, default=EmbedConfig.dimension)
     parser.add_argument("--keep", action="store_true", help="merge into the point table")
-    parser.add_argument("--buckets", type=int, default=BUCKETS)
-    parser.add_argument("--files-per-bucket", type=int, default=1)
+    parser.add_argument("--encoder", help="module:factory of a sentence encoder, see ModelEncoder; a stand-in if absent")
+    parser.add_argument("--generator", help="module:factory of a chat model, see ChatGenerator; a stand-in if absent")
     parser.add_argument("--questions", help="JSON lines with query_id and question")
     parser.add_argument("--top-k", type=int, default=SearchConfig.top_k)
     parser.add_argument("--candidate-k", type=int, default=SearchConfig.candidate_k)
@@ -51,12 +52,24 @@ def _arguments() -> argparse.Namespace:
     return parser.parse_args()
 
 
+def _loader(name: str):
+    """The function ``module:factory`` names. It is called once per Python worker and returns the model."""
+    module, _, factory = name.partition(":")
+
+    def load():
+        return getattr(importlib.import_module(module), factory)()
+
+    return load
+
+
 def main() -> None:
     args = _arguments()
     spark = build_session("pagelore", args.master)
     out = args.out.rstrip("/")
     site = CrawlConfig(args.host, args.bare_host, max_pages=args.max_pages)
-    encoder = HashedWords(EmbedConfig(dimension=args.dimension))
+    made = EmbedConfig(dimension=args.dimension)
+    encoder = ModelEncoder(_loader(args.encoder), made) if args.encoder else HashedWords(made)
+    generator = ChatGenerator(_loader(args.generator)) if args.generator else None
 
     def documents():
         if args.documents:
@@ -90,7 +103,7 @@ def main() -> None:
     elif args.stage == "index":
         points = build_points(tables.read_embeddings(spark, f"{out}/embeddings"), args.dimension)
         index_points(
-            points, f"{out}/points", args.dimension, not args.keep, args.buckets, args.files_per_bucket
+            points, f"{out}/points", args.dimension, not args.keep, replace_documents=args.keep
         ).show(truncate=False)
     elif args.stage == "health":
         health(spark, f"{out}/points").show(truncate=False)
@@ -106,7 +119,7 @@ def main() -> None:
             results_report(asked, stored).write.mode("overwrite").json(f"{out}/results_report")
         else:
             answers = answer_questions(
-                points, asked, encoder, search_cfg=cfg, cfg=AnswerConfig(args.knowledge_base)
+                points, asked, encoder, generator, search_cfg=cfg, cfg=AnswerConfig(args.knowledge_base)
             )
             answers.write.mode("overwrite").json(f"{out}/answers")
     spark.stop()

@@ -27,7 +27,7 @@ from pagelore.operators.chunking import (
 )
 from pagelore.operators.embedding import embed_chunks, embedding_report
 from pagelore.operators.first_wins import repeated_groups
-from pagelore.operators.points import index_points, latest_points, read_points
+from pagelore.operators.points import index_points, latest_points, read_points, upsert_points
 from pagelore.operators.validation import (
     build_manifest,
     entry_outcomes,
@@ -107,13 +107,15 @@ def _(spark, folder):
 
 
 # Labels are the manifest: some name a document by its own URL, the rest by its source
-# page, to which the document with the greatest file name answers.
+# page, to which the document with the greatest file name answers. Every entry comes twice,
+# and the first of the two has a blank id where the quality is 0.
 _MANIFEST = """
 entries AS (
-  SELECT lpad(l.doc_id::VARCHAR, 10, '0') AS file,
+  SELECT lpad(l.doc_id::VARCHAR, 10, '0') || again AS file,
+    CASE WHEN quality = 0 AND again = '' THEN '' ELSE 'doc_' || l.doc_id END AS document_id,
     CASE WHEN quality = 1 THEN 'https://kb.example.org/' || source || '/' || l.doc_id ELSE 'https://kb.example.org/none' END AS canonical_url,
     CASE WHEN toxic = 1 THEN 'https://kb.example.org/' || source ELSE 'https://kb.example.org/gone' END AS url
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id, (VALUES (''), ('-2')) AS r(again)
 ),
 lookup AS (
   SELECT key, max(file) AS found FROM (SELECT url AS key, file FROM docs UNION ALL SELECT canonical_url, file FROM docs) GROUP BY key
@@ -126,11 +128,13 @@ resolved AS (
 
 def _label_manifest(spark, folder):
     labels = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    labels = labels.withColumn("again", F.explode(F.array(F.lit(""), F.lit("-2"))))
     home = F.concat(F.lit("https://kb.example.org/"), F.col("source"))
     own = F.concat(home, F.lit("/"), F.col("doc_id").cast("string"))
     return labels.select(
-        F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("file"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"),
+        F.concat(F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.col("again")).alias("file"),
+        F.when((F.col("quality") == 0) & (F.col("again") == ""), "")
+        .otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("document_id"),
         F.lit("").alias("content_hash"),
         F.when(F.col("quality") == 1, own).otherwise("https://kb.example.org/none").alias("canonical_url"),
         F.when(F.col("toxic") == 1, home).otherwise("https://kb.example.org/gone").alias("url"),
@@ -141,8 +145,8 @@ def _label_manifest(spark, folder):
     "manifest_join",
     S.with_tables("docs", "")
     + f""", {_MANIFEST}
-    SELECT found_file AS file, min(file) AS position, arg_min('doc_' || file::BIGINT, file) AS document_id,
-      count(*)::BIGINT AS copies FROM resolved WHERE found_file IS NOT NULL GROUP BY 1""",
+    SELECT found_file AS file, min(file) AS position, arg_min(document_id, file) AS document_id,
+      count(*)::BIGINT AS copies FROM resolved WHERE found_file IS NOT NULL AND document_id <> '' GROUP BY 1""",
 )
 def _(spark, folder):
     docs = document_records(spark, folder)
@@ -168,8 +172,9 @@ def _(spark, folder):
     "manifest_outcomes",
     S.with_tables("docs", "")
     + f""", {_MANIFEST}
-    SELECT count(found_file)::BIGINT AS documents_processed, count(*) FILTER (WHERE found_file IS NULL)::BIGINT AS missing_documents,
-      0::BIGINT AS failed_documents FROM resolved""",
+    SELECT count(*) FILTER (WHERE found_file IS NOT NULL AND document_id <> '')::BIGINT AS documents_processed,
+      count(*) FILTER (WHERE found_file IS NULL)::BIGINT AS missing_documents,
+      count(*) FILTER (WHERE found_file IS NOT NULL AND document_id = '')::BIGINT AS failed_documents FROM resolved""",
 )
 def _(spark, folder):
     return entry_outcomes(resolve_entries(_label_manifest(spark, folder), document_records(spark, folder)))
@@ -369,12 +374,30 @@ def _(spark, folder):
 def _(spark, folder):
     """The point table written, partly replaced by an upsert, and read back."""
     path = new_folder(spark, "point-files")
-    index_points(points(spark, folder), path, DIMENSION, buckets=16)
+    index_points(points(spark, folder), path, DIMENSION)
     changed = points(spark, folder).filter("section_level = 1").withColumn("title", F.lit("again"))
     index_points(changed, path, DIMENSION, rebuild=False)
     return read_points(spark, path).select("id", "chunk_id", "url", "title")
 
 
+@query(
+    "point_replace",
+    S.with_tables(
+        "points",
+        """SELECT id, chunk_id, url, CASE WHEN changed THEN 'again' ELSE title END AS title
+    FROM (SELECT *, substr(document_id, 5, 1) < '8' AS changed FROM points) WHERE NOT changed OR chunk_index = 0""",
+    ),
+)
+def _(spark, folder):
+    """New versions of half the documents, each with its first chunk only: no other of their chunks is left."""
+    path = new_folder(spark, "point-files")
+    index_points(points(spark, folder), path, DIMENSION)
+    changed = points(spark, folder).filter(F.substring("document_id", 5, 1) < "8")
+    fresh = changed.filter("chunk_index = 0").withColumn("title", F.lit("again"))
+    upsert_points(fresh, path, replaced=changed.select("document_id").distinct())
+    return read_points(spark, path).select("id", "chunk_id", "url", "title")
+
+
 @query(
     "manifest_warnings",
     S.with_tables("docs", f"SELECT file, url, word_count FROM docs WHERE word_count <= 0 OR {_MISMATCH}"),
@@ -391,4 +414,4 @@ def _(spark, folder):
 def _(spark, folder):
     """The status row of a freshly built point table."""
     path = new_folder(spark, "point-files")
-    return index_points(points(spark, folder), path, DIMENSION, buckets=16)
+    return index_points(points(spark, folder), path, DIMENSION)

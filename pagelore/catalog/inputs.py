@@ -89,9 +89,20 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the input files: a changed input is another input."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table_status in files.listStatus(place):
+        inner = files.listStatus(table_status.getPath()) if table_status.isDirectory() else [table_status]
+        found += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in inner]
+    return ";".join(sorted(found))
+
+
 def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     """A table that several queries read, built once per session and input."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, _state(spark, folder), name)
     if key not in _STORED:
         _STORED[key] = materialize(build(spark, folder), name)
     return _STORED[key]

@@ -89,12 +89,6 @@ BROAD_TERMS = ("what", "which", "offer", "provide", "provides", "do", "does")
 
 TITLE_SIGNALS = ("services", "solutions")
 
-REQUEST_HEADERS = {
-    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
-    "Accept-Language": "en-US,en;q=0.9",
-    "Connection": "keep-alive",
-}
-
 
 @dataclass(frozen=True)
 class CrawlConfig:
@@ -109,6 +103,8 @@ class CrawlConfig:
     min_document_words: int = 20
     blocked_extensions: tuple[str, ...] = BLOCKED_EXTENSIONS
     user_agent: str = "Mozilla/5.0 (compatible; pagelore)"
+    # Further request headers, as (name, value).
+    headers: tuple[tuple[str, str], ...] = ()
 
     @property
     def start_url(self) -> str:
@@ -194,6 +190,11 @@ class SearchConfig:
 class AnswerConfig:
     knowledge_base: str = "site"
     max_question_chars: int = 2000
+    # What the model is told; {knowledge_base} and {fallback} are filled in.
+    instructions: str = (
+        "You are the search desk of the {knowledge_base} knowledge base. Reply in a few plain sentences, "
+        'backed by the passages that follow. Should they not settle the question, your whole reply is: "{fallback}"'
+    )
 
     @property
     def fallback(self) -> str:

@@ -86,7 +86,8 @@ class ModelEncoder:
                 yield pd.Series(out)
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, _VECTOR)(text)
+        # A model must not run twice because a filter looks at its result.
+        return F.pandas_udf(run, _VECTOR).asNondeterministic()(text)
 
 
 def require_fields(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -80,19 +80,24 @@ def page_links(nodes: Column, url: Column) -> Column:
     def build(anchors: Column) -> Column:
         targets = F.transform(anchors, lambda a: document_url(resolve_url(url, strip(a["href"]))))
 
-        def first_of_each(urls: Column) -> Column:
-            def link(u: Column) -> Column:
-                anchor = F.get(anchors, F.array_position(urls, u).cast("int") - 1)
+        def link(first: Column) -> Column:
+            def text_of(a: Column) -> Column:
+                pieces = F.slice(raw, a["from"] + 1, a["upto"] - a["from"])
+                return F.array_join(non_empty(F.transform(pieces, space_sentences)), " ")
 
-                def text_of(a: Column) -> Column:
-                    pieces = F.slice(raw, a["from"] + 1, a["upto"] - a["from"])
-                    return F.array_join(non_empty(F.transform(pieces, space_sentences)), " ")
+            return F.struct(first["url"].alias("url"), let(F.get(anchors, first["at"]), text_of).alias("text"))
 
-                return F.struct(u.alias("url"), let(anchor, text_of).alias("text"))
+        # Sorted by target and place, the first of each run is a target's first anchor.
+        placed = F.filter(
+            F.transform(targets, lambda u, i: F.struct(u.alias("url"), i.alias("at"))), lambda p: p["url"] != ""
+        )
 
-            return F.transform(non_empty(F.array_distinct(urls)), link)
+        def first_of_each(ordered: Column) -> Column:
+            firsts = F.filter(ordered, lambda p, i: (i == 0) | (F.get(ordered, i - 1)["url"] != p["url"]))
+            by_place = F.sort_array(F.transform(firsts, lambda p: F.struct(p["at"].alias("at"), p["url"].alias("url"))))
+            return F.transform(by_place, link)
 
-        return let(targets, first_of_each)
+        return let(F.sort_array(placed), first_of_each)
 
     return let(F.filter(nodes["elements"], wanted), build)
 

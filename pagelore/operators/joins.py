@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.session import materialize
+
+# A key with at least this many rows is spread over several tasks.
 HOT_ROWS = 1_000_000
-SALTS = 64
-# At most this many hot keys are broadcast; there are never more than rows / HOT_ROWS.
-MOST_HOT_KEYS = 10_000
+# Only so many of the hottest keys are marked. Any other key then has less than one row in
+# so many of the whole side, which is no more than an even share of a large job's tasks.
+MARKED_KEYS = 100_000
 
 
 def join_unique(
@@ -18,23 +21,26 @@ def join_unique(
     spread_by: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    marked_keys: int = MARKED_KEYS,
 ) -> DataFrame:
     """Join ``left`` to a table that holds every ``key`` once.
 
-    Keys with at least ``hot_rows`` rows on the left are found by a partially
-    aggregated count and spread over ``salts`` join keys, by a hash of ``spread_by``;
-    only their single row on the other side is repeated. Without hot keys, or with so
-    many that they spread by themselves, this is a plain join.
+    Hot keys are found by a partially aggregated count. Each is spread by a hash of
+    ``spread_by`` over as many join keys as its own count asks for, four for every
+    ``hot_rows`` rows; only its single row on the other side is repeated. The marks are
+    a table of one narrow row per hot key, bounded by ``marked_keys``.
     """
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select(key)
-    found = hot.limit(MOST_HOT_KEYS + 1).collect()
-    if not found or len(found) > MOST_HOT_KEYS:
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+    hot = materialize(
+        counts.orderBy(F.desc("n"), key).limit(marked_keys)
+        .select(F.col(key).alias("_hot_key"), F.ceil(F.col("n") * 4 / hot_rows).cast("int").alias("_salts")),
+        "hot-keys",
+    )
+    if hot.isEmpty():
         return left.join(unique, key, how)
-    schema = hot.schema.add("_hot", "boolean")
-    marks = F.broadcast(left.sparkSession.createDataFrame([(r[0], True) for r in found], schema))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0))
-    salted = left.join(marks, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
-    repeated = unique.join(marks, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    marks = F.broadcast(hot)
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread_by), F.col("_salts"))).otherwise(F.lit(0))
+    salted = left.join(marks, left[key] == F.col("_hot_key"), "left").withColumn("_salt", salt.cast("int")).drop("_salts", "_hot_key")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = unique.join(marks, unique[key] == F.col("_hot_key"), "left").withColumn("_salt", F.explode(copies)).drop("_salts", "_hot_key")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,8 @@ from pagelore.functions.ids import point_id
 from pagelore.operators.embedding import require_fields
 from pagelore.operators.first_wins import first_per_key
 from pagelore.schemas import PAYLOAD_NUMBER_FIELDS, PAYLOAD_TEXT_FIELDS
-from pagelore.session import materialize
+from pagelore.session import Scratch, list_names, path_exists, remove_path
 
-BUCKETS = 256
 DISTANCE = "cosine"
 
 
@@ -49,65 +50,56 @@ def build_points(embedded: DataFrame, dimension: int | None = None) -> DataFrame
 def latest_points(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Upsert: a new point replaces an old one of the same id, the last new one wins.
 
-    ``order`` names a column of ``new`` that tells later rows from earlier ones.
+    ``order`` names a column of ``new`` that tells later rows from earlier ones. Without
+    it, and among rows of one place, the greatest hash of the whole row wins, so that a
+    rerun gives the same result.
     """
     place = F.col(order).cast("long") if order else F.lit(1).cast("long")
-    shared = [c for c in old.columns]
+    shared = list(old.columns)
     both = old.withColumn("_seq", F.lit(None).cast("long")).unionByName(
         new.withColumn("_seq", place).select(*shared, "_seq")
     )
     # NULL sorts last in descending order: an old row loses against any new one.
-    return first_per_key(both, ["id"], [F.col("_seq").desc_nulls_last()]).drop("_seq")
-
-
-_TABLE = "dimension int, distance string, buckets int, files_per_bucket int"
-
+    ranking = [F.col("_seq").desc_nulls_last(), F.xxhash64(*shared).desc()]
+    return first_per_key(both, ["id"], ranking).drop("_seq")
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-
-
-def _arranged(points: DataFrame, buckets: int, files_per_bucket: int) -> DataFrame:
-    """Rows laid out for writing: ids spread evenly over buckets, pages clustered in files."""
-    part = F.pmod(F.xxhash64("url", "id"), F.lit(files_per_bucket))
-    return (
-        points.withColumn("bucket", _bucket(buckets))
-        .repartition("bucket", part)
-        .sortWithinPartitions("bucket", "url", "id")
-    )
 
+# How the stored table is laid out. Every write adds a folder of its own and then a note that
+# lists the folders that make up the table, in order; readers take the latest finished note.
+# What a note names is never changed, so a write that fails leaves the table as it was.
+_NOTE = (
+    "dimension int, distance string, "
+    "parts array<struct<folder:string,kind:string,version:int,rows:long>>"
+)
+# Deltas are folded into a new base when their rows exceed this share of it, or their number this.
+COMPACT_SHARE = 0.25
+COMPACT_DELTAS = 32
+# Rows of a file at most, however large the table is.
+FILE_ROWS = 1_000_000
 
-def write_points(
-    points: DataFrame, path: str, dimension: int, buckets: int = BUCKETS, files_per_bucket: int = 1
-) -> None:
-    """(Re)build the table: one folder per id bucket, and a note on what it holds.
 
-    ``files_per_bucket`` should grow with the table, to about its bytes divided by
-    ``buckets`` times the wanted file size.
-    """
-    (
-        _arranged(points, buckets, files_per_bucket)
-        .write.option("partitionOverwriteMode", "static")
-        .mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-    describe_table(points.sparkSession, path, dimension, DISTANCE, buckets, files_per_bucket)
+def _notes(spark, path: str) -> list[int]:
+    done = (n for n in list_names(spark, f"{path}/_notes") if n.isdigit())
+    return sorted(int(n) for n in done if path_exists(spark, f"{path}/_notes/{n}/_SUCCESS"))
 
 
-def describe_table(
-    spark, path: str, dimension: int, distance: str, buckets: int, files_per_bucket: int
-) -> None:
-    """Note next to the data how its vectors are compared and its rows laid out."""
-    row = spark.createDataFrame([(dimension, distance, buckets, files_per_bucket)], _TABLE)
-    row.coalesce(1).write.mode("overwrite").json(f"{path}/_table")
+def _write_note(spark, path: str, dimension: int, distance: str, parts: list) -> None:
+    version = max(_notes(spark, path), default=0) + 1
+    rows = spark.createDataFrame([(dimension, distance, [tuple(p) for p in parts])], _NOTE)
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/_notes/{version}")
 
 
 def table_description(spark, path: str):
-    found = spark.read.schema(_TABLE).json(f"{path}/_table").first()
-    if found is None:
+    """The latest note: dimension, distance and the parts of the table."""
+    versions = _notes(spark, path)
+    if not versions:
         raise RuntimeError("the point table has no description")
-    return found
+    return spark.read.schema(_NOTE).json(f"{path}/_notes/{versions[-1]}").first()
+
+
+def describe_table(spark, path: str, dimension: int, distance: str) -> None:
+    """Note how the stored vectors are compared."""
+    _write_note(spark, path, dimension, distance, table_description(spark, path).parts)
 
 
 def check_table(spark, path: str, dimension: int, distance: str = DISTANCE) -> None:
@@ -119,34 +111,97 @@ def check_table(spark, path: str, dimension: int, distance: str = DISTANCE) -> N
         raise RuntimeError(f"table distance mismatch: {found.distance} != {distance}")
 
 
-def read_points(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+def _store(points: DataFrame, path: str) -> tuple[str, int]:
+    """Write rows into a folder of their own: pages clustered in files, files of bounded size.
+
+    The number of files follows the data: partitions are merged and split to the
+    session's advisory size, and a file never holds more than ``FILE_ROWS`` rows.
+    """
+    folder = f"data-{uuid.uuid4().hex}"
+    arranged = points.hint("rebalance", "url").sortWithinPartitions("url", "id")
+    arranged.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/{folder}")
+    return folder, points.sparkSession.read.parquet(f"{path}/{folder}").count()
+
+
+def write_points(points: DataFrame, path: str, dimension: int) -> None:
+    """(Re)build the table. The old one stays readable until the new one is complete."""
+    folder, rows = _store(points, path)
+    _write_note(points.sparkSession, path, dimension, DISTANCE, [(folder, "base", 0, rows)])
 
 
-def upsert_points(new: DataFrame, path: str, order: str | None = None) -> None:
-    """Merge new points into a stored table, rewriting only the buckets they fall in.
+def read_points(spark, path: str) -> DataFrame:
+    """The points of the table: the latest row of every id, less those of replaced documents.
+
+    Base rows are read as they are; only ids and document ids of the deltas, which are
+    small next to the base, are compared with them.
+    """
+    parts = table_description(spark, path).parts
+    schema = spark.read.parquet(f"{path}/{parts[0].folder}").schema
+
+    def read(kind: str) -> DataFrame | None:
+        out = None
+        for p in parts:
+            if p.kind == kind:
+                rows = spark.read.parquet(f"{path}/{p.folder}").withColumn("_version", F.lit(p.version))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    points = spark.read.schema(schema).parquet(f"{path}/{parts[0].folder}")
+    deltas, replaced = read("delta"), read("replaced")
+    if replaced is not None:
+        replaced = replaced.groupBy("document_id").agg(F.max("_version").alias("_replaced"))
+        points = points.join(replaced, "document_id", "left_anti")
+    if deltas is not None:
+        latest = first_per_key(deltas, ["id"], [F.col("_version").desc()])
+        if replaced is not None:
+            latest = latest.join(replaced, "document_id", "left").filter(
+                F.coalesce(F.col("_replaced") <= F.col("_version"), F.lit(True))
+            )
+        points = points.join(deltas.select("id").distinct(), "id", "left_anti").unionByName(latest.select(*schema.names))
+    return points.select(*schema.names)
+
+
+def upsert_points(
+    new: DataFrame, path: str, order: str | None = None, replace_documents: bool = False, replaced: DataFrame | None = None
+) -> None:
+    """Add points to a stored table without touching what is stored; the last of an id wins.
 
-    The merged rows are staged in the shared folder first, so a bucket is never
-    read while it is being replaced.
+    With ``replace_documents`` all stored points of the documents in ``new`` go, so no
+    passage of an older version of a page can be found any more; ``replaced`` (document_id)
+    names such documents outright, also those that have no new points. A repeated batch
+    changes nothing that a reader sees.
     """
     spark = new.sparkSession
-    layout = table_description(spark, path)
-    fresh = materialize(new.withColumn("bucket", _bucket(layout.buckets)), "new-points")
-    # At most as many values as the table has buckets.
-    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    stored = spark.read.parquet(path)
-    old = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
-    merged = materialize(latest_points(old, fresh.drop("bucket"), order), "merged-points")
-    (
-        _arranged(merged, layout.buckets, layout.files_per_bucket)
-        .select(*stored.columns)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    note = table_description(spark, path)
+    with Scratch(spark, "new-points") as scratch:
+        given = scratch.keep(new)
+        if replace_documents and replaced is None:
+            replaced = given.select("document_id").distinct()
+        if given.isEmpty() and (replaced is None or replaced.isEmpty()):
+            return
+        schema = spark.read.parquet(f"{path}/{note.parts[0].folder}").columns
+        version = 1 + max(p.version for p in note.parts)
+        parts = [tuple(p) for p in note.parts]
+        if replaced is not None:
+            folder = f"replaced-{uuid.uuid4().hex}"
+            replaced.select("document_id").write.parquet(f"{path}/{folder}")
+            parts.append((folder, "replaced", version, 0))
+        folder, rows = _store(latest_points(given.limit(0).select(*schema), given, order), path)
+        parts.append((folder, "delta", version, rows))
+    _write_note(spark, path, note.dimension, note.distance, parts)
+    deltas = [p for p in parts if p[1] == "delta"]
+    if len(deltas) > COMPACT_DELTAS or sum(p[3] for p in deltas) > COMPACT_SHARE * parts[0][3]:
+        write_points(read_points(spark, path), path, note.dimension)
+
+
+def drop_old_versions(spark, path: str) -> None:
+    """Delete the folders and notes that the latest note does not need. No reader may be at work on them."""
+    wanted = {p.folder for p in table_description(spark, path).parts}
+    for name in list_names(spark, path):
+        if name.startswith(("data-", "replaced-")) and name not in wanted:
+            remove_path(spark, f"{path}/{name}")
+    for version in _notes(spark, path)[:-1]:
+        remove_path(spark, f"{path}/_notes/{version}")
 
 
 def index_points(
@@ -154,29 +209,27 @@ def index_points(
     path: str,
     dimension: int,
     rebuild: bool = True,
-    buckets: int = BUCKETS,
-    files_per_bucket: int = 1,
+    order: str | None = None,
+    replace_documents: bool = False,
 ) -> DataFrame:
-    """Store points, from scratch or merged into what is there, and verify the table.
-
-    The layout is chosen when the table is built; a merge keeps it.
-    """
+    """Store points, from scratch or merged into what is there, and verify the table."""
     spark = points.sparkSession
-    if rebuild:
-        stored = materialize(points, "points")
-        write_points(
-            latest_points(stored.limit(0), stored), path, dimension, buckets, files_per_bucket
-        )
-        return verify_points(spark, path, dimension, stored.select("id").distinct().count())
-    check_table(spark, path, dimension)
-    upsert_points(points, path)
-    return verify_points(spark, path, dimension)
+    if not rebuild:
+        check_table(spark, path, dimension)
+        upsert_points(points, path, order, replace_documents)
+        return verify_points(spark, path, dimension)
+    with Scratch(spark, "points") as scratch:
+        stored = scratch.keep(points)
+        plain = [c for c in stored.columns if c != order]
+        write_points(latest_points(stored.limit(0).select(*plain), stored, order), path, dimension)
+        expected = stored.select("id").distinct().count()
+    return verify_points(spark, path, dimension, expected)
 
 
 def verify_points(spark, path: str, dimension: int, expected: int | None = None) -> DataFrame:
     """One status row; raises if the table is not what was to be stored."""
     status = (
-        spark.read.parquet(path)
+        read_points(spark, path)
         .agg(
             F.count(F.lit(1)).alias("points"),
             F.count_if(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).alias("wrong_size"),
@@ -193,10 +246,15 @@ def verify_points(spark, path: str, dimension: int, expected: int | None = None)
 
 
 def health(spark, path: str) -> DataFrame:
-    """One row ``status, error, points``: healthy where the table can be read."""
+    """One row ``status, error, points``: healthy where the table can be read.
+
+    ``not_ready`` where no table has been written yet.
+    """
     schema = "status string, error string, points long"
     try:
-        count = spark.read.parquet(path).count()
+        if not _notes(spark, path):
+            return spark.createDataFrame([("not_ready", "no point table", None)], schema)
+        count = read_points(spark, path).count()
     except Exception as exc:  # any failure to read means unhealthy
         return spark.createDataFrame([("unhealthy", f"{type(exc).__name__}", None)], schema)
     return spark.createDataFrame([("healthy", None, count)], schema)

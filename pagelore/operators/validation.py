@@ -187,19 +187,24 @@ def shadowed_files(documents: DataFrame) -> DataFrame:
 def resolve_entries(manifest: DataFrame, documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Manifest entries with ``found_file``: by canonical URL, else by URL, else NULL.
 
-    Entries with the same pair of URLs resolve alike, so each pair is looked up once:
-    the first entry in manifest order represents it and ``copies`` counts them all.
+    Entries with the same pair of URLs resolve alike, so each pair is looked up once. The
+    first entry in manifest order that has a document id represents it: an entry with a
+    blank id fails by itself and takes no other with it. ``copies`` counts all entries
+    of the pair, ``usable_copies`` those with an id.
     """
-    first = F.min_by(F.struct("document_id", "content_hash"), F.col("file"))
+    usable = F.coalesce(F.col("document_id"), F.lit("")) != ""
+    # Rows without an order value take no part in min_by.
+    place = F.when(usable, F.col("file"))
     pairs = manifest.groupBy(
         clean_text(F.col("canonical_url")).alias("canonical_key"),
         clean_text(F.col("url")).alias("url_key"),
     ).agg(
-        F.min("file").alias("position"),
-        first.alias("_first"),
-        F.min_by("canonical_url", "file").alias("manifest_canonical_url"),
-        F.min_by("url", "file").alias("manifest_url"),
+        F.coalesce(F.min(place), F.min("file")).alias("position"),
+        F.min_by(F.struct("document_id", "content_hash"), place).alias("_first"),
+        F.coalesce(F.min_by("canonical_url", place), F.min_by("canonical_url", "file")).alias("manifest_canonical_url"),
+        F.coalesce(F.min_by("url", place), F.min_by("url", "file")).alias("manifest_url"),
         F.count(F.lit(1)).alias("copies"),
+        F.count_if(usable).alias("usable_copies"),
     )
     lookup = document_lookup(documents)
     by_canonical = lookup.select(F.col("key").alias("canonical_key"), F.col("found_file").alias("_by_canonical"))
@@ -213,6 +218,7 @@ def resolve_entries(manifest: DataFrame, documents: DataFrame, hot_rows: int = H
         "manifest_canonical_url",
         "manifest_url",
         "copies",
+        "usable_copies",
         F.coalesce("_by_canonical", "_by_url").alias("found_file"),
     )
 
@@ -224,29 +230,26 @@ def manifest_documents(entries: DataFrame, documents: DataFrame) -> DataFrame:
     repeated chunks, so the content is read, and later chunked, once; ``copies``
     remembers how often it was asked for.
     """
-    usable = entries.filter(
-        F.col("found_file").isNotNull() & (F.coalesce(F.col("document_id"), F.lit("")) != "")
-    )
+    usable = entries.filter(F.col("found_file").isNotNull() & (F.col("usable_copies") > 0))
     wanted = usable.groupBy(F.col("found_file").alias("file")).agg(
         F.min("position").alias("position"),
         F.min_by(
             F.struct("document_id", "content_hash", "manifest_canonical_url"), F.col("position")
         ).alias("_entry"),
-        F.sum("copies").alias("copies"),
+        F.sum("usable_copies").alias("copies"),
     )
     return documents.join(wanted, "file").select("*", "_entry.*").drop("_entry")
 
 
 def entry_outcomes(entries: DataFrame) -> DataFrame:
     """One row: how many manifest entries were processed, missing, or failed."""
-    missing = F.col("found_file").isNull()
-    failed = ~missing & (F.coalesce(F.col("document_id"), F.lit("")) == "")
+    found = F.col("found_file").isNotNull()
 
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("copies"))), F.lit(0)).cast("long")
+    def total(count: Column, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, count)), F.lit(0)).cast("long")
 
     return entries.agg(
-        total(~missing & ~failed).alias("documents_processed"),
-        total(missing).alias("missing_documents"),
-        total(failed).alias("failed_documents"),
+        total(F.col("usable_copies"), found).alias("documents_processed"),
+        total(F.col("copies"), ~found).alias("missing_documents"),
+        total(F.col("copies") - F.col("usable_copies"), found).alias("failed_documents"),
     )

@@ -21,6 +21,9 @@ _CONF = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "pagelore", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -40,9 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="pagelore-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    # One folder per local session; the user's own checkpoint setting is left alone.
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="pagelore-")
+    return _LOCAL_FOLDERS[key]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -62,6 +67,52 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored there. Any other trouble, such as a time-out, is raised."""
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none where there is no such folder."""
+    files, place = _file_system(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(place))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+class Scratch:
+    """Stored intermediate tables with an owner: they are deleted when the block ends.
+
+    Results that outlive the block must have been written elsewhere by then.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.made = spark, new_folder(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove_path(self.spark, self.root)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """A table written round by round and read as one scan, however many rounds there are."""
 

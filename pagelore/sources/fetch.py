@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.config import REQUEST_HEADERS, CrawlConfig
+from pagelore.config import CrawlConfig
 from pagelore.functions.urls import crawl_url
 from pagelore.operators.first_wins import first_per_key
 
@@ -22,16 +24,34 @@ ANSWER = (
 _PAGES_AT_ONCE = 64
 
 
+_META_CHARSET = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
+
+
+def page_charset(body: bytes, told: str | None) -> str:
+    """The charset of a page: its byte order mark, else the header's word, else the page's own, else UTF-8."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if body.startswith(mark):
+            return name
+    named = _META_CHARSET.search(body[:4096])
+    for name in (told, named and named[1].decode("ascii")):
+        try:
+            if name:
+                return codecs.lookup(name).name
+        except LookupError:
+            continue
+    return "utf-8"
+
+
 def http_get(url: str, headers: dict[str, str], timeout: float) -> dict:
     """One GET with redirects; raises on an error status."""
     from urllib.request import Request, urlopen
 
     with urlopen(Request(url, headers=headers), timeout=timeout) as response:
         body = response.read()
-        encoding = response.headers.get_content_charset() or ""
+        encoding = page_charset(body, response.headers.get_content_charset())
         return {
             "final_url": response.geturl(),
-            "html": body.decode(encoding or "utf-8", errors="replace"),
+            "html": body.decode(encoding, errors="replace"),
             "status_code": response.status,
             "encoding": encoding,
             "content_type": response.headers.get("Content-Type", ""),
@@ -46,7 +66,7 @@ def fetch_over_http(
     URLs are spread over ``fetch_parallelism`` tasks whatever their host. Every task
     waits that many times the delay, so the site sees one request per delay in all.
     """
-    headers = {"User-Agent": cfg.user_agent, **REQUEST_HEADERS}
+    headers = {"User-Agent": cfg.user_agent, **dict(cfg.headers)}
     timeout, tasks = cfg.timeout_seconds, cfg.fetch_parallelism
     pause = cfg.delay_seconds * tasks
     columns = [c.strip().split(" ")[0] for c in ANSWER.split(",")]

@@ -12,15 +12,7 @@ from pagelore.operators.frontier import latest_documents
 from pagelore.operators.points import read_points, upsert_points, write_points
 from pagelore.plans.chat import answer_questions
 from pagelore.plans.corpus import chunk_corpus, embed_corpus, validate_corpus
-from pagelore.session import materialize
-
-
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-    except Exception:
-        return False
-    return True
+from pagelore.session import Scratch, path_exists
 
 
 def pages_into_points(
@@ -34,18 +26,25 @@ def pages_into_points(
 ) -> StreamingQuery:
     """Extract, validate, chunk and embed new pages and merge them into the point table.
 
-    Point ids depend on document and text alone, so a repeated batch changes nothing.
+    All points of a page that comes again are replaced. A passage that the table has under
+    another document is not stored twice. A repeated batch changes nothing. Intermediate
+    tables of a batch go when it is done.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        extracted = extract_pages(batch).filter(F.col("word_count") >= site.min_document_words)
-        documents = materialize(latest_documents(extracted), "stream-documents")
-        manifest = validate_corpus(documents, site).manifest
-        points = embed_corpus(chunk_corpus(manifest, documents, chunking).chunks, encoder)
-        if _exists(batch.sparkSession, points_path):
-            upsert_points(points, points_path)
-        else:
-            write_points(points, points_path, encoder.dimension)
+        spark = batch.sparkSession
+        with Scratch(spark, "stream") as scratch:
+            extracted = extract_pages(batch).filter(F.col("word_count") >= site.min_document_words)
+            documents = scratch.keep(latest_documents(extracted))
+            manifest = validate_corpus(documents, site).manifest
+            points = scratch.keep(embed_corpus(chunk_corpus(manifest, documents, chunking).chunks, encoder))
+            if path_exists(spark, f"{points_path}/_notes"):
+                mine = points.select("document_id").distinct()
+                others = read_points(spark, points_path).join(mine, "document_id", "left_anti")
+                known = others.select("chunk_hash").join(points.select("chunk_hash").distinct(), "chunk_hash", "left_semi").distinct()
+                upsert_points(scratch.keep(points.join(known, "chunk_hash", "left_anti").select(*points.columns)), points_path, replaced=mine)
+            else:
+                write_points(points, points_path, encoder.dimension)
 
     writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -65,10 +64,11 @@ def questions_into_answers(
     """Answer every arriving question (query_id, question); one folder per batch."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        asked = materialize(batch.select("query_id", "question"), "stream-questions")
-        points = read_points(batch.sparkSession, points_path)
-        answers = answer_questions(points, asked, encoder, generator, search_cfg, cfg)
-        answers.write.mode("overwrite").parquet(f"{answers_path}/batch={number}")
+        with Scratch(batch.sparkSession, "stream-questions") as scratch:
+            asked = scratch.keep(batch.select("query_id", "question"))
+            points = read_points(batch.sparkSession, points_path)
+            answers = answer_questions(points, asked, encoder, generator, search_cfg, cfg)
+            answers.write.mode("overwrite").parquet(f"{answers_path}/batch={number}")
 
     writer = questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

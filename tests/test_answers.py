@@ -10,6 +10,7 @@ from pagelore.config import AnswerConfig, CrawlConfig, EmbedConfig
 from pagelore.operators.answering import (
     ChatGenerator,
     ExtractiveGenerator,
+    ChatGenerator,
     answer_from_results,
     build_context,
     results_report,
@@ -124,6 +125,12 @@ def test_streams(spark, tmp_path):
     put("foxes", "the red fox sleeps", n=1)
     run_pages()
     assert sorted(r.title for r in read_points(spark, path).select("title").collect()) == ["dogs", "foxes"]
+    # A page that changed loses its old passages.
+    put("foxes", "a grey wolf howls", n=2)
+    run_pages()
+    assert len(stored := read_points(spark, path).collect()) == 2 and not [r for r in stored if "red fox" in r.text]
+    put("foxes", "the red fox sleeps", n=3)
+    run_pages()
     (tmp_path / "asked" / "1.json").write_text(json.dumps({"query_id": "q", "question": "where does the red fox sleep"}))
     stream = spark.readStream.schema("query_id string, question string").json(str(tmp_path / "asked"))
     questions_into_answers(stream, path, str(tmp_path / "answers"), str(tmp_path / "cp2"), enc).awaitTermination(300)
@@ -131,3 +138,20 @@ def test_streams(spark, tmp_path):
     assert row.query_id == "q" and re.search("red fox", row.answer)
     direct = answer_questions(read_points(spark, path), spark.createDataFrame([("q", " ")], "query_id string, question string"), enc)
     assert direct.first().status_code == 400
+
+
+def test_a_model_is_asked_once_per_prompt(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def load():
+        def ask(system, user, **options):
+            with open(log, "a") as out:
+                out.write("call\n")
+            return "fine"
+
+        return ask
+
+    asked = spark.createDataFrame([(str(i), f"question {i}") for i in range(3)], "query_id string, question string")
+    found = spark.createDataFrame([(str(i), 1, "some text") for i in range(3)], "query_id string, pick int, text string")
+    answers = answer_from_results(asked, found, ChatGenerator(load)).filter("status_code = 200").collect()
+    assert len(answers) == 3 and len(open(log).readlines()) == 3

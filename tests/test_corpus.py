@@ -99,7 +99,7 @@ def test_hot_keys_give_the_same_join(spark):
     names = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, tag int")
     for how in ("inner", "left"):
         plain = sorted(map(tuple, df.join(names, "key", how).select("key", "member", "tag").collect()), key=str)
-        salted = join_unique(df, names, "key", "member", how, hot_rows=100, salts=8)
+        salted = join_unique(df, names, "key", "member", how, hot_rows=100)
         assert sorted(map(tuple, salted.select("key", "member", "tag").collect()), key=str) == plain
         assert salted.columns == ["key", "member", "tag"]
     groups = repeated_groups(df, "key", "member", hot_rows=100)
@@ -131,7 +131,7 @@ def test_files_to_points(spark, folder, tmp_path):
     assert s.unique_chunks == chunks.count() and s.raw_chunks == s.unique_chunks + s.duplicate_chunks
     points = embed_corpus(chunks, HashedWords(EmbedConfig(dimension=8)))
     path = f"{out}/points"
-    P.write_points(points, path, 8, buckets=4)
+    P.write_points(points, path, 8)
     assert P.verify_points(spark, path, 8, chunks.count()).first().points == chunks.count()
     P.upsert_points(points, path)
     P.verify_points(spark, path, 8, chunks.count())
@@ -140,7 +140,7 @@ def test_files_to_points(spark, folder, tmp_path):
     again = P.read_points(spark, path)
     assert again.count() == chunks.count() and again.filter("title = 'changed'").count() == 2
     assert P.health(spark, path).first().status == "healthy"
-    assert P.health(spark, f"{out}/nowhere").first().status == "unhealthy"
+    assert P.health(spark, f"{out}/nowhere").first().status == "not_ready"
     with pytest.raises(RuntimeError, match="does not match"):
         P.verify_points(spark, path, 8, 1)
     with pytest.raises(RuntimeError, match="dimensions"):
@@ -152,12 +152,12 @@ def test_indexing_checks_what_is_stored(spark, tmp_path):
     points = P.build_points(spark.createDataFrame(
         rows, "chunk_id string, chunk_hash string, text string, embedding array<float>"), 2)
     path = str(tmp_path / "points")
-    assert P.index_points(points, path, 2, buckets=3).first().points == 4
+    assert P.index_points(points, path, 2).first().points == 4
     assert P.index_points(points.filter("chunk_id = 'c1'"), path, 2, rebuild=False).first().points == 4
     assert P.read_points(spark, path).columns == points.columns
     with pytest.raises(RuntimeError, match="dimension mismatch"):
         P.index_points(points, path, 3, rebuild=False)
-    P.describe_table(spark, path, 2, "dot", 3, 1)
+    P.describe_table(spark, path, 2, "dot")
     with pytest.raises(RuntimeError, match="distance mismatch"):
         P.index_points(points, path, 2, rebuild=False)
 
@@ -196,3 +196,84 @@ def test_payload_defaults_and_checks(spark):
     assert (p.page_type, p.url, p.section_index, p.word_count, p.embedding_model) == ("general", "", 0, 0, "")
     with pytest.raises(Exception, match="dimensions"):
         P.build_points(rows, 3).collect()
+
+
+def _entry(file, document_id, url):
+    return (file, document_id, "h", url, url)
+
+
+def test_a_blank_id_fails_by_itself(spark):
+    manifest = spark.createDataFrame(
+        [_entry("a", "", "https://h/1"), _entry("b", "doc_x", "https://h/1"), _entry("c", None, "https://h/2"), _entry("d", "doc_z", "https://h/3")],
+        "file string, document_id string, content_hash string, canonical_url string, url string")
+    docs = spark.createDataFrame([(f"f{i}", f"https://h/{i}", "") for i in (1, 2)], "file string, url string, canonical_url string")
+    entries = resolve_entries(manifest, docs)
+    assert tuple(entry_outcomes(entries).first()) == (1, 1, 2)
+    kept = manifest_documents(entries, docs).collect()
+    assert [(r.file, r.document_id, r.position, r.copies) for r in kept] == [("f1", "doc_x", "b", 1)]
+
+
+def test_many_hot_keys_are_all_spread(spark):
+    rows = [(k, i) for k in range(40) for i in range(30)] + [(100 + k, 0) for k in range(50)]
+    left = spark.createDataFrame(rows, "k int, i int")
+    unique = spark.createDataFrame([(k, f"v{k}") for k in range(160)], "k int, v string")
+    for marked in (100_000, 7):
+        joined = join_unique(left, unique, "k", "i", hot_rows=10, marked_keys=marked)
+        assert sorted((r.k, r.i, r.v) for r in joined.collect()) == sorted((k, i, f"v{k}") for k, i in rows)
+    plan = joined._jdf.queryExecution().toString()
+    assert "_salt" in plan and "BroadcastHashJoin" in plan
+
+
+def _points(spark, rows):
+    return P.build_points(spark.createDataFrame(
+        rows, "document_id string, chunk_id string, chunk_hash string, text string, title string, embedding array<float>"), 2)
+
+
+def test_upserts_add_files_and_replace_documents(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(f"d{i % 5}", f"c{i}", f"h{i}", "t", "old", [1.0, float(i)]) for i in range(40)]
+    P.index_points(_points(spark, rows), path, 2)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "points").rglob("*.parquet")}
+    P.upsert_points(_points(spark, [("d1", "c1", "h1", "t", "new", [5.0, 5.0])]), path)
+    assert {p: p.stat().st_mtime_ns for p in before} == before
+    shown = {r.chunk_id: r.title for r in P.read_points(spark, path).collect()}
+    assert len(shown) == 40 and shown["c1"] == "new" and shown["c2"] == "old"
+    P.upsert_points(_points(spark, [("d1", "c99", "h99", "t", "again", [1.0, 1.0])]), path, replace_documents=True)
+    left = P.read_points(spark, path).collect()
+    assert [r.chunk_id for r in left if r.document_id == "d1"] == ["c99"] and len(left) == 33
+    P.upsert_points(_points(spark, [(f"e{i}", f"e{i}", f"e{i}", "t", "x", [1.0, 0.0]) for i in range(30)]), path)
+    assert [p.kind for p in P.table_description(spark, path).parts] == ["base"]
+    P.drop_old_versions(spark, path)
+    assert P.read_points(spark, path).count() == 63
+    assert len([p for p in (tmp_path / "points").iterdir() if p.name.startswith("data-")]) == 1
+
+
+def test_a_write_that_failed_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "points")
+    P.index_points(_points(spark, [("d", "c", "h", "t", "old", [1.0, 0.0])]), path, 2)
+    (tmp_path / "points" / "data-unfinished").mkdir()
+    (tmp_path / "points" / "_notes" / "2").mkdir()
+    assert [r.title for r in P.read_points(spark, path).collect()] == ["old"]
+    P.upsert_points(_points(spark, [("d", "c", "h", "t", "new", [1.0, 0.0])]), path)
+    assert [r.title for r in P.read_points(spark, path).collect()] == ["new"]
+
+
+def test_the_last_of_an_id_wins_or_a_rerun_agrees(spark):
+    rows = [("x", i) for i in range(8)]
+    new = spark.createDataFrame(rows, "id string, value int").repartition(4)
+    old = new.limit(0)
+    ordered = P.latest_points(old, new.withColumn("at", F.col("value")), "at")
+    assert [r.value for r in ordered.collect()] == [7]
+    assert P.latest_points(old, new).collect() == P.latest_points(old, new.repartition(7)).collect()
+
+
+def test_missing_and_unreadable_paths_differ(spark, tmp_path):
+    from pagelore.session import Scratch, path_exists
+
+    assert not path_exists(spark, str(tmp_path / "nowhere")) and path_exists(spark, str(tmp_path))
+    with pytest.raises(Exception, match="(?i)no filesystem|unsupported|scheme"):
+        path_exists(spark, "nosuchscheme://host/x")
+    with Scratch(spark, "check") as scratch:
+        assert scratch.keep(spark.range(3)).count() == 3
+        assert path_exists(spark, scratch.root)
+    assert not path_exists(spark, scratch.root)

@@ -172,3 +172,23 @@ def test_walk_handles_cycles(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     assert {(r.url, r.depth) for r in walk_links(edges, seeds).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert walk_links(edges, seeds, 1).count() == 2
+
+
+def test_charset_of_a_page():
+    from pagelore.sources.fetch import page_charset
+
+    latin = "<meta charset='ISO-8859-1'><p>caf\xe9".encode("latin-1")
+    assert latin.decode(page_charset(latin, None)).endswith("caf\xe9")
+    assert page_charset(latin, "utf-8") == "utf-8" and page_charset(b"<p>x", None) == "utf-8"
+    assert page_charset(b"<p>x", "no-such-charset") == "utf-8" and page_charset(b"\xef\xbb\xbfx", None) == "utf-8-sig"
+
+
+def test_many_links_take_their_first_anchor(spark):
+    import time
+
+    links = "".join(f"<a href='/p{i % 4000}'>t{i}</a>" for i in range(16_000))
+    page = spark.createDataFrame([("https://www.h.example/", f"<body>{links}")], "url string, html string")
+    start = time.time()
+    found = extract_pages(page).first().links
+    assert [(k.url.rsplit("/", 1)[1], k.text) for k in found] == [(f"p{i}", f"t{i}") for i in range(4000)]
+    assert time.time() - start < 60
