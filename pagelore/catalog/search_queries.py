@@ -90,19 +90,18 @@ def _(spark, folder):
 @query(
     "nearest_vectors",
     """WITH s AS (
-      SELECT item_id::VARCHAR AS query_id, p.vec_id::VARCHAR AS id,
+      SELECT q.vec_id::VARCHAR AS query_id, p.vec_id::VARCHAR AS id,
         round(list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])
           / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[]))), 9) AS score
-      FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings p)
+      FROM embeddings q CROSS JOIN embeddings p)
     SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
     FROM s QUALIFY rank <= 20""",
 )
 def _(spark, folder):
-    """The supplied vectors nearest to the vector of every benchmark item."""
+    """The supplied vectors nearest to each of them, itself included."""
     vectors = table(spark, folder, "embeddings")
     stored_points = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id"))
-    asked = vectors.join(items, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     top = nearest_points(stored_points, asked, 20)
     return top.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
