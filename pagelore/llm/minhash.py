@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import as_bytes, batches, mix64
+from pagelore.llm.common import as_bytes, batches, mix64, small_or_shuffled
 from pagelore.llm.components import components
 from pagelore.session import materialize
 
@@ -205,7 +205,8 @@ def _sets(docs: DataFrame, clusters: DataFrame, config: MinHashConfig) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), pa.array(sets, pa.binary())], ["doc_id", "cluster", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(clusters, "doc_id").mapInArrow(run, "doc_id long, cluster long, hashes binary").where(F.length("hashes") > 0)
+    narrow = small_or_shuffled(clusters, clusters.count())
+    return texts.join(narrow, "doc_id").mapInArrow(run, "doc_id long, cluster long, hashes binary").where(F.length("hashes") > 0)
 
 
 def _settle_small(sets: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -248,7 +249,7 @@ def _settle_large(sets: DataFrame, config: MinHashConfig) -> DataFrame:
             waiting = waiting.join(sent, "node", "left_anti")
             order = (F.col("members") == F.col("greatest")).cast("int")
         else:
-            order = F.lit(0)
+            order = F.col("members") * 0
         chosen = [r.node for r in waiting.orderBy(order, F.xxhash64("node"), "node").select("node").limit(config.round_nodes).collect()]
         if not chosen:
             return roots.select("node", "root")
