@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import batches
+from pagelore.operators.joins import join_unique
+from pagelore.session import materialize
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,10 @@ class TemplateConfig:
     min_pages: int = 3
     #: and on this share of them. The share bounds the hashes of a host: a few times the elements of a page.
     min_share: float = 0.3
+    #: Hashes of all hosts that are sent to all executors at most.
+    broadcast_hashes: int = 2_000_000
+    #: Beyond that, a host with so many pages is spread over several tasks.
+    hot_pages: int = 100_000
 
 
 # HTML elements by their role.
@@ -281,9 +287,12 @@ def extract_main_text(pages: DataFrame, config: TemplateConfig = TemplateConfig(
                     ["page_id", "url", "text", "n_chars"],
                 )
 
-    known = template_subtrees(pages, config).where(F.size("template") > 0)
-    return (
-        pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-        .join(known, "host", "left").select("page_id", "url", "html", "template")
-        .mapInArrow(run, "page_id long, url string, text string, n_chars long")
-    )
+    known = materialize(template_subtrees(pages, config).where(F.size("template") > 0), "templates")
+    hashes = known.agg(F.sum(F.size("template"))).first()[0] or 0
+    hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    # Pages are only shuffled, with hot hosts spread, if the templates are too many to be sent to all executors.
+    if hashes <= config.broadcast_hashes:
+        joined = hosted.join(F.broadcast(known), "host", "left")
+    else:
+        joined = join_unique(hosted, known, "host", "page_id", "left", config.hot_pages)
+    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

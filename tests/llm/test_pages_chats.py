@@ -44,6 +44,8 @@ def test_site_template_goes(spark):
     rows += [(20 + k, f"http://B.example:80/{k}", page(f"{bar}<div><p>{prose(20 + k, 20)}</p></div>")) for k in range(2)]
     got = {r.page_id: r for r in html_main.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[k].text == prose(k, 20) for k in range(8))
+    spread = html_main.TemplateConfig(broadcast_hashes=0, hot_pages=2)
+    assert collected(html_main.extract_main_text(spark.createDataFrame(rows, PAGES), spread), "page_id", "text") == sorted([(r.page_id, r.text) for r in got.values()], key=repr)
     # Two pages are too few to tell a template.
     assert got[20].text == "Our site since 1999\n" + prose(20, 20)
     # Sentences that articles share stay.
