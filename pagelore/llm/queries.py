@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import chat_format, language, licence, mixing, quality_model
+from pagelore.llm import chat_format, language, licence, mixing, quality_model, sql
 from pagelore.llm.common import fold, table
 from pagelore.llm.minhash import MinHashConfig, near_duplicates
 from pagelore.llm.decontaminate import contaminated
@@ -51,7 +51,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_messages(rows)).drop("n_attachments")
 
 
-@query("op4_minhash_near_dedup")
+@query("op4_minhash_near_dedup", sql.NEAR_DUPLICATES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), MinHashConfig(words=3, percent=85))
 
@@ -92,7 +92,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", sql.REPEATED_BYTES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(table(spark, sf_dir, "documents")).drop("spans")
 
