@@ -39,8 +39,9 @@ class SuffixConfig:
     digit: int = 32
     #: Members of a group that one task orders; larger groups take another pass.
     group_rows: int = 50_000
-    #: Rows that may be sent to all executors (some tens of bytes each); beyond, the texts are shuffled.
-    broadcast_rows: int = 1_000_000
+    #: Anchors or spans (12 and 8 bytes each, listed by document) that may be sent to all executors;
+    #: beyond, the texts are shuffled, packed.
+    broadcast_rows: int = 3_000_000
 
     @property
     def slack(self) -> int:
@@ -82,6 +83,13 @@ def anchors(raw: bytes, config: SuffixConfig) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """digit, around, doc_id, at, extent of every anchor whose surroundings are new to its document.
+
+    Anchors that repeat one of their own document are marked at once: their runs go along
+    as rows with a negative extent (the run's length) and a digit that only spreads them. So a
+    text that repeats a few words over and over sends a few rows, not thousands for one digit.
+    """
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
@@ -94,11 +102,24 @@ def _anchor_rows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
                         continue
                     start, stop = np.maximum(at - config.slack, 0), np.minimum(at + config.depth, len(raw))
                     left = at - start
+                    kind = np.array([xxh3_64_intdigest(raw[s:e], k) for s, e, k in zip(start.tolist(), stop.tolist(), left.tolist())], dtype=np.uint64)
+                    extent = left * 256 + stop - at
+                    _, first = np.unique(digits * _ODD[7] + kind, return_index=True)
+                    if len(first) < len(at):
+                        again = np.ones(len(at), dtype=bool)
+                        again[first] = False
+                        reach = np.maximum.accumulate(stop[again])
+                        cut = np.flatnonzero(np.concatenate([[True], start[again][1:] > reach[:-1]]))
+                        run, until = start[again][cut], reach[np.concatenate([cut[1:], [len(reach)]]) - 1]
+                        first.sort()
+                        spread = mix64((run + 1).astype(np.uint64) * _ODD[6] + np.uint64(doc & (1 << 64) - 1))
+                        digits, kind = np.concatenate([digits[first], spread]), np.concatenate([kind[first], spread])
+                        at, extent = np.concatenate([at[first], run]), np.concatenate([extent[first], run - until])
                     ids.append(np.full(len(at), doc, dtype=np.int64))
                     keys.append(digits)
-                    around.append(np.array([xxh3_64_intdigest(raw[s:e], k) for s, e, k in zip(start.tolist(), stop.tolist(), left.tolist())], dtype=np.uint64))
+                    around.append(kind)
                     places.append(at.astype(np.int32))
-                    ends.append((left * 256 + stop - at).astype(np.int32))
+                    ends.append(extent.astype(np.int32))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(around).view(np.int64)),
@@ -126,6 +147,13 @@ def _first_pass(rows: DataFrame, config: SuffixConfig) -> DataFrame:
         head, waiting = (0, 0), None
         for batch in stream:
             digit, around, doc, at, extent = (batch.column(i).to_numpy() for i in range(5))
+            marked = extent < 0
+            if marked.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(int(marked.sum()), pa.int64()), pa.array(doc[marked]), pa.array(at[marked]), pa.array((at - extent)[marked])],
+                    ["digit", "doc_id", "from_byte", "to_byte"],
+                )
+                digit, around, doc, at, extent = (x[~marked] for x in (digit, around, doc, at, extent))
             n = len(digit)
             if not n:
                 continue
@@ -179,9 +207,33 @@ def _first_pass(rows: DataFrame, config: SuffixConfig) -> DataFrame:
     return rows.repartition("digit").sortWithinPartitions("digit", "around", "doc_id", "at").mapInArrow(run, _MARKS)
 
 
+def _beside_texts(docs: DataFrame, per_doc: DataFrame, bounded: bool, how: str) -> DataFrame:
+    """``docs`` joined with one narrow row per ``_id``; the texts only move if that table is not bounded."""
+    if bounded:
+        return docs.join(F.broadcast(per_doc), F.col("doc_id").cast("long") == F.col("_id"), how).drop("_id")
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return pd.Series([None if t is None else squeeze.compress(t.encode("utf-8")) for t in texts], dtype="object")
+
+    @F.pandas_udf("string")
+    def unpack(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        back = zstandard.ZstdDecompressor()
+        return pd.Series([None if t is None else back.decompress(t).decode("utf-8") for t in texts], dtype="object")
+
+    packed = docs.withColumn("text", pack("text"))
+    joined = packed.join(per_doc, F.col("doc_id").cast("long") == F.col("_id"), how).drop("_id")
+    return joined.withColumn("text", unpack("text"))
+
+
 def _surroundings(docs: DataFrame, going: DataFrame, config: SuffixConfig, bounded: bool) -> DataFrame:
     """Anchors that go on, with the bytes around them: digit, doc_id, at, left, bytes."""
-    per_doc = going.groupBy("doc_id").agg(F.collect_list("digit").alias("digits"), F.collect_list("from_byte").alias("places"))
+    per_doc = going.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("digit").alias("digits"), F.collect_list("from_byte").alias("places"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
@@ -200,7 +252,7 @@ def _surroundings(docs: DataFrame, going: DataFrame, config: SuffixConfig, bound
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["digit", "doc_id", "at", "left", "bytes"])
 
-    joined = docs.join(F.broadcast(per_doc) if bounded else per_doc, "doc_id")
+    joined = _beside_texts(docs, per_doc, bounded, "inner")
     # A doc_id on several rows may have several texts; only those with the digit at its place belong.
     return joined.mapInArrow(run, "digit long, doc_id long, at int, left int, bytes binary").distinct()
 
@@ -317,8 +369,35 @@ def _window_pass(going: DataFrame, config: SuffixConfig) -> DataFrame:
     )
 
 
+def _merge_marks(marks: DataFrame) -> DataFrame:
+    """Maximal runs of each document. Marks stream in order; what is carried over is one run."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc_id", "from_byte", "to_byte"])
+
+        held = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+        for batch in stream:
+            doc, start, stop = (np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held))
+            if not len(doc):
+                continue
+            # Documents are laid end to end, so one running maximum serves all of them.
+            base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 32
+            reach = np.maximum.accumulate(stop + base)
+            first = np.flatnonzero(np.concatenate([[True], start[1:] + base[1:] > reach[:-1]]))
+            last = np.concatenate([first[1:], [len(doc)]]) - 1
+            runs = doc[first], start[first], reach[last] - base[last]
+            held = tuple(r[-1:] for r in runs)
+            yield rows(*(r[:-1] for r in runs))
+        yield rows(*held)
+
+    ordered = marks.select("doc_id", "from_byte", "to_byte").repartition("doc_id").sortWithinPartitions("doc_id", "from_byte")
+    return ordered.mapInArrow(run, "doc_id long, from_byte int, to_byte int")
+
+
 def repeated_bytes(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> tuple[DataFrame, int]:
-    """Stored rows doc_id, from_byte, to_byte (they may overlap) that cover every repeated window, and their number."""
+    """Stored rows doc_id, from_byte, to_byte, the maximal runs that repeated windows cover, and their number."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     passed = materialize(_first_pass(_anchor_rows(texts, config), config), "first-pass")
     going = passed.where(F.col("digit").isNotNull())
@@ -336,7 +415,7 @@ def repeated_bytes(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> tu
     marks = parts[0]
     for part in parts[1:]:
         marks = marks.unionByName(part)
-    marks = materialize(marks, "marks")
+    marks = materialize(_merge_marks(marks), "marks")
     return marks, marks.count()
 
 
@@ -370,7 +449,7 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 def _with_marks(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     marks, n = repeated_bytes(docs, config)
     per_doc = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("from_byte").alias("_starts"), F.collect_list("to_byte").alias("_stops"))
-    return docs.join(F.broadcast(per_doc) if n <= config.broadcast_rows else per_doc, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    return _beside_texts(docs, per_doc, n <= config.broadcast_rows, "left")
 
 
 def suffix_dedup_report(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
