@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import small_batches
+
 START, BODY, END = "<|start|>", "<|body|>", "<|end|>"
 #: What a text may not hold unescaped: this template's marks start with ``<|``; the other
 #: strings are control strings of common public chat templates.
@@ -132,7 +134,7 @@ def format_messages(messages: DataFrame, sizes: PartSizes = PartSizes()) -> Data
                 })
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return messages.select("conv_id", "turn", "role", "text", "parts").mapInArrow(run, SEGMENT_SCHEMA)
+    return small_batches(messages).select("conv_id", "turn", "role", "text", "parts").mapInArrow(run, SEGMENT_SCHEMA)
 
 
 def formatted_text(segments: DataFrame) -> DataFrame:

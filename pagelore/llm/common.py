@@ -25,6 +25,16 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the bytes of a batch sent to Python in this session.
+
+    The default bounds rows alone, and ten thousand long texts are more than a worker's
+    memory should hold.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts take about ``limit`` bytes; a longer text is a slice of its own."""
     sizes = np.array([v or 0 for v in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import batches
+from pagelore.llm.common import batches, small_batches
 from pagelore.operators.joins import join_unique
 from pagelore.session import materialize
 
@@ -251,7 +251,7 @@ def template_subtrees(pages: DataFrame, config: TemplateConfig = TemplateConfig(
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "digest"])
 
     counted = (
-        pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long")
+        small_batches(pages).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long")
         .groupBy("host", "digest").count()
     )
     # The row with a null digest counts the pages of the host.

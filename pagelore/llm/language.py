@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import fold
+from pagelore.llm.common import fold, small_batches
 
 
 @dataclass(frozen=True)
@@ -165,6 +165,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 scores.append(float(total[best] / total.sum()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_p", predict(F.col(text))).select(
+    return small_batches(docs).withColumn("_p", predict(F.col(text))).select(
         *[docs[c] for c in docs.columns], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import as_bytes, batches, mix64, small_or_shuffled
+from pagelore.llm.common import as_bytes, batches, mix64, small_batches, small_or_shuffled
 from pagelore.llm.components import components
 from pagelore.session import materialize
 
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, config: MinHashConfig) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE_SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SIGNATURE_SCHEMA)
 
 
 def star_edges(nodes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import as_bytes, batches, fold
+from pagelore.llm.common import as_bytes, fold, small_batches
 
 
 @dataclass(frozen=True)
@@ -149,4 +149,4 @@ def score(docs: DataFrame, weights: np.ndarray, config: QualityConfig = QualityC
                 out.append(1 / (1 + np.exp(-np.clip(dot + shipped[2], -30, 30))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("score", probability(F.col("text")))
+    return small_batches(docs).withColumn("score", probability(F.col("text")))

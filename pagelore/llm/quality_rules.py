@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagelore.llm.common import as_bytes, batches
+from pagelore.llm.common import as_bytes, batches, small_batches
 
 #: (bytes up to, least ratio, greatest ratio). A band without a least ratio says nothing
 #: about incompressible text: short texts never compress well.
@@ -119,4 +119,4 @@ def quality_rules(docs: DataFrame, rules: CompressionRules = CompressionRules(),
                     [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))], names
                 )
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", text).mapInArrow(run, SCHEMA)

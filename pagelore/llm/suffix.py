@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import as_bytes, batches, mix64
+from pagelore.llm.common import as_bytes, batches, mix64, small_batches
 from pagelore.session import materialize
 
 
@@ -127,7 +127,7 @@ def _anchor_rows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
                         ["digit", "around", "doc_id", "at", "extent"],
                     )
 
-    return docs.mapInArrow(run, "digit long, around long, doc_id long, at int, extent int")
+    return small_batches(docs).mapInArrow(run, "digit long, around long, doc_id long, at int, extent int")
 
 
 _MARKS = "digit long, doc_id long, from_byte int, to_byte int"
