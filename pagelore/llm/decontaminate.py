@@ -1,7 +1,8 @@
 """Benchmark decontamination: spaced seeds.
 
 A seed is a fixed mask over neighbouring words: some positions are hashed, the others are
-ignored, so a substituted word spoils only the seeds that look at it. Hashes of the training
+ignored, so a substituted word spoils only the seeds that look at it. The masks are chosen so
+that whatever words the rule allows to differ, some seed sees none of them. Hashes of the training
 texts are joined with those of the benchmark items; a hit says how item and text line up, and
 around it the two are compared word by word. Everything is a column expression; the texts
 are not shuffled unless the benchmark is too large to be sent to all executors.
@@ -10,6 +11,7 @@ are not shuffled unless the benchmark is too large to be sent to all executors.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +19,41 @@ from pyspark.sql import functions as F
 from pagelore.session import materialize
 
 
+def lost_patterns(masks: tuple[str, ...], n: int, wrong: int) -> int:
+    """In how many of the ways to change ``wrong`` of ``n`` words no mask at any place looks at unchanged words only."""
+    seen = [
+        {i + o for o, c in enumerate(mask) if c == "1"}
+        for mask in masks for i in range(n - len(mask) + 1)
+    ]
+    return sum(not any(s.isdisjoint(changed) for s in seen) for changed in combinations(range(n), wrong))
+
+
 @dataclass(frozen=True)
 class SeedConfig:
     #: 1: the word is hashed; 0: it is ignored. Every mask begins and ends with 1.
-    masks: tuple[str, ...] = ("11101011", "110010101101")
+    masks: tuple[str, ...] = ("11101011", "110100111")
+    #: Masks of items shorter than ``window``, from one word on. Texts are only hashed for the lengths that occur.
+    short_masks: tuple[tuple[str, ...], ...] = (
+        ("1",), ("11",), ("111",), ("1111",), ("111", "1101"), ("1111", "11011"), ("11011",), ("11011",),
+        ("111011",), ("1111", "11011"), ("111101", "110010011"), ("11111", "111011"),
+    )
     #: A text is contaminated by an item if, in some stretch of ``window`` aligned words (or the
     #: whole item if it is shorter), ``match_percent`` of the words agree.
     window: int = 13
     match_percent: int = 80
-    #: Items with fewer words are found as whole runs of words only.
-    shortest: int = 5
     #: Seed rows and item words sent to all executors at most.
     broadcast_seeds: int = 2_000_000
 
+    def masks_of(self, n: int) -> tuple[str, ...]:
+        """The masks of items of ``n`` words."""
+        return self.masks if n >= self.window else self.short_masks[n - 1]
+
+    def __post_init__(self) -> None:
+        # Whatever words the rule allows to differ, one seed has to be clean of them.
+        for n in range(1, self.window + 1):
+            if lost_patterns(self.masks_of(n), n, n * (100 - self.match_percent) // 100):
+                raise ValueError(f"masks lose matches of {n} words")
+
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; empty for null."""
@@ -38,36 +62,28 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def _seed_hashes(hashes: Column, size: Column, config: SeedConfig) -> Column:
+def _seed_hashes(hashes: Column, size: Column, masks: list[str]) -> Column:
     """For every mask and place: struct(at, seed). ``hashes`` are the words' 64-bit hashes."""
 
-    def seeds(k: int, mask: str) -> Column:
+    def seeds(mask: str) -> Column:
         at = [i for i, c in enumerate(mask) if c == "1"]
         places = F.when(size >= len(mask), F.sequence(F.lit(0), size - len(mask))).otherwise(F.array().cast("array<int>"))
         return F.transform(
-            places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in at]).alias("seed"))
+            places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(int(mask, 2)), *[F.get(hashes, i + o) for o in at]).alias("seed"))
         )
 
-    return F.concat(*[seeds(k, mask) for k, mask in enumerate(config.masks)])
-
-
-def _short_hashes(hashes: Column, size: Column, length: int) -> Column:
-    """Runs of exactly ``length`` words: struct(at, seed)."""
-    places = F.when(size >= length, F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(-length), *[F.get(hashes, i + o) for o in range(length)]).alias("seed")))
+    return F.concat(*[seeds(mask) for mask in masks])
 
 
 def item_seeds(benchmark: DataFrame, config: SeedConfig) -> DataFrame:
-    """item_id, item (its words), at, seed. Items shorter than every mask count as one run."""
-    least = min(map(len, config.masks))
+    """item_id, item (its words), at, seed: by the masks for the item's number of words."""
     tokens = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
     hashed = tokens.withColumn("h", F.transform("item", lambda w: F.xxhash64(w))).withColumn("n", F.size("item"))
-    long = hashed.where(F.col("n") >= least).select("item_id", "item", F.explode(_seed_hashes(F.col("h"), F.col("n"), config)).alias("s"))
-    rows = long.select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
-    for length in range(1, least):
-        whole = hashed.where(F.col("n") == length).select("item_id", "item", F.explode(_short_hashes(F.col("h"), F.col("n"), length)).alias("s"))
-        rows = rows.unionByName(whole.select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")))
-    return rows
+    found = _seed_hashes(F.col("h"), F.col("n"), list(config.masks))
+    for n in range(1, config.window):
+        found = F.when(F.col("n") == n, _seed_hashes(F.col("h"), F.col("n"), list(config.masks_of(n)))).otherwise(found)
+    rows = hashed.select("item_id", "item", F.explode(found).alias("s"))
+    return rows.select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig()) -> DataFrame:
@@ -80,14 +96,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = See
     texts and items match nothing; rows with a null id are left out; repeated rows give
     one pair. Other columns are not read.
     """
-    least = min(map(len, config.masks))
     seeds = materialize(item_seeds(benchmark, config), "item-seeds")
     n_seeds = seeds.count()
-    lengths = sorted(r.n for r in seeds.select(F.size("item").alias("n")).where(F.col("n") < least).distinct().collect())
+    lengths = [r.n for r in seeds.select(F.least(F.size("item"), F.lit(config.window)).alias("n")).distinct().collect()]
+    masks = sorted({mask for n in lengths for mask in config.masks_of(n)}) or list(config.masks)
     tokens = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("w"))
     hashed = tokens.select("doc_id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     size = F.size("h")
-    found = F.concat(_seed_hashes(F.col("h"), size, config), *[_short_hashes(F.col("h"), size, n) for n in lengths])
+    found = _seed_hashes(F.col("h"), size, masks)
     small = n_seeds <= config.broadcast_seeds
     if small:
         # The words stay in the row: only those that lie against the item go on.

@@ -1,6 +1,7 @@
 """Near-duplicates, components, suffix dedup, decontamination, mixing."""
 
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
@@ -189,6 +190,31 @@ def test_contaminated_documents_are_found(spark):
     assert by[50, 1].n_matched == 40 and by[51, 1].n_aligned == 40 and by[51, 1].n_matched == 40 - sum(k % 9 == 4 for k in range(40))
 
 
+def test_masks_leave_a_clean_seed_for_every_allowed_change():
+    config = decontaminate.SeedConfig()
+    for n in range(1, 14):
+        wrong = n - -(-80 * n // 100)
+        seen = [{k + o for o, c in enumerate(m) if c == "1"} for m in config.masks_of(n) for k in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), wrong):
+            assert any(s.isdisjoint(changed) for s in seen), (n, changed)
+
+
+def test_every_allowed_change_is_found(spark):
+    bench, texts = [], []
+    for n in [*range(1, 14), 20]:
+        item = [f"i{n}x{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        part = item[3:16] if n == 20 else item
+        allowed = len(part) - -(-80 * len(part) // 100)
+        for wrong in (allowed, allowed + 1):
+            for changed in itertools.combinations(range(len(part)), wrong):
+                text = " ".join("other" if k in changed else w for k, w in enumerate(part))
+                texts.append((1000 * len(texts) + 10 * n + (wrong > allowed), f"before {text} after"))
+    for config in (decontaminate.SeedConfig(), decontaminate.SeedConfig(broadcast_seeds=0)):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, texts), items(spark, bench), config).collect()}
+        assert got == {(i, i % 1000 // 10) for i, _ in texts if not i % 10}
+
+
 def collected_rows(rows):
     return sorted(tuple(r) for r in rows)
 
