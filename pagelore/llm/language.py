@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import fold, small_batches
@@ -88,8 +88,8 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languag
     """Count words by language on a bounded sample outside the held-out quarter.
 
     Rows without language, text or id teach nothing. Per language the sample is cut by a
-    hash of the id; counting runs in Spark, and the most frequent ``max_words`` of each
-    language come back.
+    hash of the id; counting runs in Spark, and of each language the most frequent words come
+    back, twice ``max_words`` for the n-grams.
     """
     usable = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)
@@ -105,9 +105,10 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languag
         chosen = part if chosen is None else chosen.unionAll(part)
     sample = usable.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     counted = (
         sample.select("lang", F.explode(tokens).alias("word")).groupBy("lang", "word").count()
-        .orderBy(F.desc("count"), "lang", "word").limit(2 * config.max_words * len(langs))
+        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * config.max_words)
     )
     words: dict[str, Counter] = defaultdict(Counter)
     for r in counted.collect():
@@ -136,7 +137,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             at = len(cache)
             if at == len(table):
                 return -1
-            table[at] = model.unseen(word[:64])
+            table[at] = model.unseen(word)
             cache[word] = at
             return at
 
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     total = table[[i for i in ids if i >= 0]].sum(axis=0, dtype=np.float64)
                     for word, i in zip(found, ids):
                         if i < 0:
-                            total += model.unseen(word[:64])
+                            total += model.unseen(word)
                     for word in list(cache)[len(model.words):]:
                         del cache[word]
                 else:

@@ -121,3 +121,21 @@ def test_language_cache_overflow(spark):
     narrow = language.identify(asked, language.train(docs, language.LanguageConfig(cache_words=3))).collect()
     assert [(r.doc_id, r.lang_pred) for r in wide] == [(r.doc_id, r.lang_pred) for r in narrow]
     assert all(abs(a.score - b.score) < 1e-5 for a, b in zip(wide, narrow))
+
+
+def test_every_language_keeps_its_own_words(spark):
+    rows = [(i, " ".join(f"common{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}" for k in range(60)), "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, "zwei drei vier", "zz", "s", 0) for i in range(8)]
+    model = language.train(spark.createDataFrame(rows, DOCS), language.LanguageConfig(max_words=5))
+    assert {"zwei", "drei", "vier"} <= set(model.words) and len(model.words) == 8
+    got = language.identify(documents(spark, [(1, "zwei vier"), (2, "dreivier")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "zz", 2: "zz"}
+
+
+def test_long_runs_of_letters_are_judged_whole(spark):
+    rows = [(i, spoken(i, k), k, "s", 0) for i in range(0, 120, 2) for i, k in ((i, "en"), (i + 1, "de"))]
+    docs, run = spark.createDataFrame(rows, DOCS), "q" * 70 + "dashausstehtnahewasserwährendvögelsingen"
+    asked = documents(spark, [(1, run), (2, f"{run} {run}x")])
+    for cache_words in (1, 1000):
+        got = language.identify(asked, language.train(docs, language.LanguageConfig(cache_words=cache_words))).collect()
+        assert [r.lang_pred for r in got] == ["de", "de"]
