@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import batches, small_batches
+from pagelore.llm.common import batches, small_batches, small_or_shuffled
 from pagelore.operators.joins import join_unique
 from pagelore.session import materialize
 
@@ -246,21 +246,19 @@ def template_subtrees(pages: DataFrame, config: TemplateConfig = TemplateConfig(
                 hosts, digests = [], []
                 for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                     found = {n.digest for n in hash_subtrees(parse(page)) if n.tag != "#root" and n.children} if page else ()
-                    hosts += [host] * (len(found) + 1)
-                    digests += [None, *found]
+                    hosts += [host] * len(found)
+                    digests += found
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "digest"])
 
-    counted = (
-        small_batches(pages).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long")
-        .groupBy("host", "digest").count()
-    )
-    # The row with a null digest counts the pages of the host.
-    recurring = counted.where((F.col("count") >= config.min_pages))
+    hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
+    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= config.min_pages)
+    sizes = materialize(sizes, "hosts")
+    counted = small_batches(hosted).mapInArrow(run, "host string, digest long").groupBy("host", "digest").count()
+    # Lists are only gathered of what is template: before that, copied pages make a host's rows many.
     return (
-        recurring.groupBy("host")
-        .agg(F.max(F.when(F.col("digest").isNull(), F.col("count"))).alias("pages"),
-             F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("digest", "count"))).alias("found"))
-        .select("host", F.expr(f"transform(filter(found, x -> x.count >= {config.min_share} * pages), x -> x.digest)").alias("template"))
+        counted.where(F.col("count") >= config.min_pages).join(small_or_shuffled(sizes, sizes.count()), "host")
+        .where(F.col("count") >= F.lit(config.min_share) * F.col("pages"))
+        .groupBy("host").agg(F.collect_list("digest").alias("template"))
     )
 
 

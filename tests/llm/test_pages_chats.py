@@ -54,6 +54,15 @@ def test_site_template_goes(spark):
     assert all(r.text == "Same words.\n" + prose(r.page_id, 9) and r.n_chars == len(r.text) for r in got)
 
 
+def test_only_template_hashes_are_gathered(spark):
+    rows = [(k, "http://a.example/", page(f"<div><i>{k // 3}</i></div>")) for k in range(60)] + [(99, None, None)]
+    found = html_main.template_subtrees(spark.createDataFrame(rows, PAGES))
+    assert [r.host for r in found.collect()] == ["a.example"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The share is a filter below the join with the hosts' page counts, not one on the gathered list.
+    assert "filter(" not in plan.split("Join")[0] and plan.index("collect_list") < plan.index("Join")
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None), (2, "", ""), (None, "http://x/", "<p>a"), (3, None, "<p>b"), (3, None, "<p>b"), (4, "u", "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, PAGES).selectExpr("*", "'clash' AS text", "1 AS host", "2 AS template")
