@@ -2,7 +2,7 @@
 
 Every page is read into element subtrees. A subtree's hash covers its tag, its classes,
 its text and its children. Spark counts, per host, on how many pages a hash occurs; subtrees
-that recur on many pages of their host are the site's template and are deleted. What is
+that recur on several pages of their host are the site's template and are deleted. What is
 left of the article becomes text, one line per block.
 """
 
@@ -25,8 +25,16 @@ from pagelore.session import materialize
 class TemplateConfig:
     #: A subtree is template if it occurs on this many pages of its host at least,
     min_pages: int = 3
-    #: and on this share of them. The share bounds the hashes of a host: a few times the elements of a page.
+    #: and on this share of them, where the host is so small that this is less than ``sure_pages``.
     min_share: float = 0.3
+    #: So many pages tell a template on any host,
+    sure_pages: int = 10
+    #: if they are this share of the host's pages; a host's list has a thousand times the elements of a page at most.
+    least_share: float = 0.001
+    #: Different articles, of 64 kinds by their hash, that a subtree has to stand beside: copied pages are no template.
+    kinds: int = 2
+    #: The same inside an article, where a subtree also needs ``sure_pages`` and one place from the article's start or end.
+    article_kinds: int = 8
     #: Hashes of all hosts that are sent to all executors at most.
     broadcast_hashes: int = 2_000_000
     #: Beyond that, a host with so many pages is spread over several tasks.
@@ -57,6 +65,9 @@ NOISE = frozenset(
     "subscription signup share sharing social related recommended comment comments commentlist respond disqus reply replies pagination "
     "pager toolbar widget complementary contentinfo search skip".split()
 )
+INLINE = frozenset("b i em strong a span code".split())
+#: Marks the hash of a subtree that is template inside an article.
+INSIDE = 0x2545F4914F6CDD1D
 CONTENT = ("article", "content", "post", "entry", "story", "main", "body-text", "entry-content", "post-content", "article-body")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -190,15 +201,75 @@ def _text_size(node: Node) -> int:
     return size
 
 
+def shielded(top: Node) -> list[tuple[Node, int, int]]:
+    """Outermost paragraphs, headings, lists and the like of an article, and the elements before and after each."""
+    found, todo, at = [], [(top, False)], 0
+    sizes = {}
+    for node in reversed(hash_order(top)):
+        sizes[id(node)] = 1 + sum(sizes[id(c)] for c in node.children if isinstance(c, Node))
+    while todo:
+        node, within = todo.pop()
+        mine = node is not top and node.tag in PROSE | INLINE and not within
+        if mine:
+            found.append((node, at, sizes[id(top)] - at - sizes[id(node)]))
+        at += 1
+        todo += [(c, within or mine) for c in reversed(node.children) if isinstance(c, Node)]
+    return found
+
+
+def hash_order(top: Node) -> list[Node]:
+    """Elements of a subtree, parents first."""
+    order, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return order
+
+
+def inside_key(node: Node) -> int:
+    """A hash of the subtree's text alone: the same sentence in another element is the same."""
+    parts, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            parts.append(n)
+        else:
+            todo += reversed(n.children)
+    told = _SPACE.sub(" ", "".join(parts)).strip()
+    return INSIDE ^ int.from_bytes(hashlib.blake2b(told.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def page_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
+    """The hash of the page's article, and hash, elements before and elements after of what could be template.
+
+    Where the same text stands in an article twice, its places are -1. Outside, places are not looked at.
+    """
+    order = hash_subtrees(root)
+    top = find_root(order)
+    found = {n.digest: (0, 0) for n in order if n.tag != "#root" and n.children}
+    if top.tag in ("article", "main"):
+        for node, before, after in shielded(top):
+            if node.children:
+                key = inside_key(node)
+                found[key] = (-1, -1) if key in found else (before, after)
+    return top.digest, [(k, *v) for k, v in found.items()]
+
+
 def main_text(root: Node, template: frozenset | set) -> str:
     """Blocks of the article in page order, joined by newlines.
 
-    Inside the article element, paragraphs, headings, lists and the like are never taken
-    for template: a sentence that many articles share belongs to each of them.
+    Inside the article element, paragraphs, headings, lists and the like are template only if
+    they are so at one place: a sentence that many articles share at varying places
+    belongs to each of them. Where that would take half of the article, it is a near copy of
+    others and keeps them all.
     """
     order = hash_subtrees(root)
     top = find_root(order)
-    shielded = top.tag in ("article", "main")
+    article = top.tag in ("article", "main")
+    cut = {id(n): n for n, _, _ in shielded(top) if inside_key(n) in template} if article and template else {}
+    if cut and 2 * sum(map(_text_size, cut.values())) >= _text_size(top):
+        cut = {}
     lines, run = [], []
 
     def close() -> None:
@@ -216,7 +287,7 @@ def main_text(root: Node, template: frozenset | set) -> str:
             run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif node is not top and (_noise(node) or (node.digest in template and not (shielded and node.tag in PROSE | {"b", "i", "em", "strong", "a", "span", "code"}))):
+        elif node is not top and (_noise(node) or (id(node) in cut if article and node.tag in PROSE | INLINE else node.digest in template)):
             if node.tag in BLOCKS or node.tag in DROPPED:
                 close()
         elif node.tag in BLOCKS:
@@ -229,6 +300,10 @@ def main_text(root: Node, template: frozenset | set) -> str:
     return "\n".join(lines)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -243,21 +318,36 @@ def template_subtrees(pages: DataFrame, config: TemplateConfig = TemplateConfig(
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for batch in batches(whole, "html", 4 << 20):
-                hosts, digests = [], []
+                hosts, kinds, rows = [], [], []
                 for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                    found = {n.digest for n in hash_subtrees(parse(page)) if n.tag != "#root" and n.children} if page else ()
-                    hosts += [host] * len(found)
-                    digests += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "digest"])
+                    if page:
+                        article, found = page_hashes(parse(page))
+                        hosts += [host] * len(found)
+                        kinds += [article & 63] * len(found)
+                        rows += found
+                columns = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hosts, pa.string()), pa.array([_signed(1 << k) for k in kinds], pa.int64()),
+                     *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))]],
+                    ["host", "kind", "digest", "before", "after"],
+                )
 
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
     sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= config.min_pages)
     sizes = materialize(sizes, "hosts")
-    counted = small_batches(hosted).mapInArrow(run, "host string, digest long").groupBy("host", "digest").count()
+    counted = (
+        small_batches(hosted).mapInArrow(run, "host string, kind long, digest long, before int, after int").groupBy("host", "digest")
+        .agg(F.count("*").alias("count"), F.bit_count(F.bit_or("kind")).alias("kinds"),
+             F.max(F.greatest("before", "after")).alias("inside"),
+             ((F.min("before") == F.max("before")) & (F.min("before") >= 0) | (F.min("after") == F.max("after")) & (F.min("after") >= 0)).alias("fixed"))
+    )
+    sure = F.greatest(F.lit(config.sure_pages), F.lit(config.least_share) * F.col("pages"))
+    outside = (F.col("inside") == 0) & (F.col("kinds") >= config.kinds) & (F.col("count") >= F.least(sure, F.lit(config.min_share) * F.col("pages")))
+    inside = (F.col("inside") != 0) & F.col("fixed") & (F.col("kinds") >= config.article_kinds) & (F.col("count") >= sure)
     # Lists are only gathered of what is template: before that, copied pages make a host's rows many.
     return (
         counted.where(F.col("count") >= config.min_pages).join(small_or_shuffled(sizes, sizes.count()), "host")
-        .where(F.col("count") >= F.lit(config.min_share) * F.col("pages"))
+        .where(outside | inside)
         .groupBy("host").agg(F.collect_list("digest").alias("template"))
     )
 

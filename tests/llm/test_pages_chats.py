@@ -1,6 +1,7 @@
 """HTML extraction, chat formatting, licence scans."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -54,6 +55,27 @@ def test_site_template_goes(spark):
     assert all(r.text == "Same words.\n" + prose(r.page_id, 9) and r.n_chars == len(r.text) for r in got)
 
 
+def test_rare_template_of_a_large_host_goes(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(120):
+        lines = [prose(1000 + 10 * k + j, 12) for j in range(rng.randrange(2, 6))]
+        if k % 3 == 0:
+            lines.insert(rng.randrange(1, len(lines)), "A sentence that articles share.")
+        want[k] = "\n".join(lines)
+        body = "".join(f"<p>{line}</p>" for line in lines)
+        notice = "<ul><li>Call us</li><li>Now open</li></ul>" if k % 8 == 0 else ""
+        closing = "<p>Read on tomorrow.</p>" if k % 2 else ""
+        rotating = f"<div><span>Offer {k % 10}</span></div>"
+        rows.append((k, f"http://a.example/{k}", page(f"<article>{notice}{body}{rotating}{closing}</article>")))
+    # Copies of a page are no template.
+    rows += [(200 + k, f"http://a.example/{k}", page("<article><p>copied one</p><div>copied two</div></article>")) for k in range(30)]
+    rows += [(300 + k, f"http://a.example/{k}", page("<article><p>near one</p><p>near two, longer</p>" + f"<p>{k}</p></article>")) for k in range(30)]
+    got = {r.page_id: r.text for r in html_main.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(got[200 + k] == "copied one\ncopied two" and got[300 + k] == f"near one\nnear two, longer\n{k}" for k in range(30))
+
+
 def test_only_template_hashes_are_gathered(spark):
     rows = [(k, "http://a.example/", page(f"<div><i>{k // 3}</i></div>")) for k in range(60)] + [(99, None, None)]
     found = html_main.template_subtrees(spark.createDataFrame(rows, PAGES))
