@@ -5,7 +5,8 @@ ignored, so a substituted word spoils only the seeds that look at it. The masks
 that whatever words the rule allows to differ, some seed sees none of them. Hashes of the training
 texts are joined with those of the benchmark items; a hit says how item and text line up, and
 around it the two are compared word by word. Everything is a column expression; the texts
-are not shuffled unless the benchmark is too large to be sent to all executors.
+are not shuffled unless the benchmark, or what was found, is too large to be sent to all executors.
+Seeds carry no words: these are fetched once per item and text that a hit lines up.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import small_or_shuffled
+from pagelore.operators.joins import join_unique
 from pagelore.session import materialize
 
 
@@ -41,8 +44,9 @@ class SeedConfig:
     #: whole item if it is shorter), ``match_percent`` of the words agree.
     window: int = 13
     match_percent: int = 80
-    #: Seed rows and item words sent to all executors at most.
+    #: Seed rows sent to all executors at most, and bytes of seeds or of item words.
     broadcast_seeds: int = 2_000_000
+    broadcast_bytes: int = 192 << 20
 
     def masks_of(self, n: int) -> tuple[str, ...]:
         """The masks of items of ``n`` words."""
@@ -75,15 +79,24 @@ def _seed_hashes(hashes: Column, size: Column, masks: list[str]) -> Column:
     return F.concat(*[seeds(mask) for mask in masks])
 
 
-def item_seeds(benchmark: DataFrame, config: SeedConfig) -> DataFrame:
-    """item_id, item (its words), at, seed: by the masks for the item's number of words."""
+#: Bytes of a seed row in memory: its four numbers, their header and its place in the table.
+SEED_BYTES = 64
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_key, item_id, item (its words) of every item with words, repeated rows once."""
     tokens = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
-    hashed = tokens.withColumn("h", F.transform("item", lambda w: F.xxhash64(w))).withColumn("n", F.size("item"))
-    found = _seed_hashes(F.col("h"), F.col("n"), list(config.masks))
+    return tokens.select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "item")
+
+
+def item_seeds(items: DataFrame, config: SeedConfig) -> DataFrame:
+    """item_key, n_item (its words), item_at, seed: by the masks for the item's number of words."""
+    hashed = items.select("item_key", F.size("item").alias("n_item"), F.transform("item", lambda w: F.xxhash64(w)).alias("h"))
+    found = _seed_hashes(F.col("h"), F.col("n_item"), list(config.masks))
     for n in range(1, config.window):
-        found = F.when(F.col("n") == n, _seed_hashes(F.col("h"), F.col("n"), list(config.masks_of(n)))).otherwise(found)
-    rows = hashed.select("item_id", "item", F.explode(found).alias("s"))
-    return rows.select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
+        found = F.when(F.col("n_item") == n, _seed_hashes(F.col("h"), F.col("n_item"), list(config.masks_of(n)))).otherwise(found)
+    rows = hashed.select("item_key", "n_item", F.explode(found).alias("s"))
+    return rows.select("item_key", "n_item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig()) -> DataFrame:
@@ -96,31 +109,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = See
     texts and items match nothing; rows with a null id are left out; repeated rows give
     one pair. Other columns are not read.
     """
-    seeds = materialize(item_seeds(benchmark, config), "item-seeds")
+    known = materialize(item_words(benchmark), "items")
+    seeds = materialize(item_seeds(known, config), "item-seeds")
     n_seeds = seeds.count()
-    lengths = [r.n for r in seeds.select(F.least(F.size("item"), F.lit(config.window)).alias("n")).distinct().collect()]
+    lengths = [r.n for r in seeds.select(F.least("n_item", F.lit(config.window)).alias("n")).distinct().collect()]
     masks = sorted({mask for n in lengths for mask in config.masks_of(n)}) or list(config.masks)
-    tokens = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("w"))
-    hashed = tokens.select("doc_id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    size = F.size("h")
-    found = _seed_hashes(F.col("h"), size, masks)
-    small = n_seeds <= config.broadcast_seeds
-    if small:
-        # The words stay in the row: only those that lie against the item go on.
-        placed = hashed.select("doc_id", "w", F.explode(found).alias("s")).select("doc_id", "w", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-        hits = placed.join(F.broadcast(seeds), "seed")
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    found = _seed_hashes(F.col("h"), F.size("h"), masks)
+    placed = hashed.select("doc_id", F.explode(found).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    small = n_seeds <= config.broadcast_seeds and n_seeds * SEED_BYTES <= config.broadcast_bytes
+    # Narrow rows first: one for every way an item lies against a text, whatever the number of seeds that say so.
+    start = (F.col("at") - F.col("item_at")).alias("doc_from")
+    hits = placed.join(F.broadcast(seeds) if small else seeds, "seed").select("doc_id", "item_key", "n_item", start).distinct()
+    hits = materialize(hits, "hits")
+    # Then the words: those of the texts that were hit, cut to what lies against the item, and the item's own.
+    n_hits = hits.count()
+    ids = hits.select("doc_id").distinct()
+    touched = texts.join(small_or_shuffled(ids, n_hits), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    theirs = touched.join(small_or_shuffled(hits, n_hits), "doc_id").select(
+        "doc_id", "item_key", "doc_from",
+        F.slice("w", F.greatest("doc_from", F.lit(0)) + 1, F.col("n_item") + F.least("doc_from", F.lit(0))).alias("theirs"),
+    )
+    # 24 bytes are what a word takes in an array besides its letters.
+    held = known.agg(F.sum(F.aggregate("item", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 24))).first()[0] or 0
+    if small and held <= config.broadcast_bytes:
+        both = theirs.join(F.broadcast(known), "item_key")
     else:
-        placed = hashed.select("doc_id", F.explode(found).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-        lined = placed.join(seeds, "seed").select("doc_id", "item_id", "item", "item_at", "at").dropDuplicates(["doc_id", "item_id", "item_at", "at"])
-        hits = lined.join(tokens, "doc_id")
-    start = F.col("at") - F.col("item_at")
+        both = join_unique(theirs, known, "item_key", "doc_id")
     # Words of the text against words of the item, from the first place both have.
-    lined_up = hits.select(
-        "doc_id", "item_id", start.alias("doc_from"),
-        F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("item") + F.least(start, F.lit(0))).alias("theirs"),
-        F.slice("item", F.greatest(-start, F.lit(0)) + 1, F.size("item")).alias("ours"),
+    lined_up = both.select(
+        "doc_id", "item_id", "doc_from", "theirs",
+        F.slice("item", F.greatest(-F.col("doc_from"), F.lit(0)) + 1, F.size("item")).alias("ours"),
         F.size("item").alias("n_item"),
-    ).dropDuplicates(["doc_id", "item_id", "doc_from", "theirs", "ours"])
+    )
     n = F.least(F.size("theirs"), F.size("ours"))
     agree = F.transform(F.slice("ours", 1, n), lambda x, i: (x == F.get("theirs", i)).cast("int"))
     span = F.least(F.lit(config.window), F.col("n_item"))

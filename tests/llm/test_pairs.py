@@ -215,6 +215,19 @@ def test_every_allowed_change_is_found(spark):
         assert got == {(i, i % 1000 // 10) for i, _ in texts if not i % 10}
 
 
+def test_seeds_of_long_items_carry_no_words(spark):
+    config = decontaminate.SeedConfig()
+    known = decontaminate.item_words(items(spark, [(1, prose(73, 3000, 90_000)), (1, prose(73, 3000, 90_000)), (2, "alpha beta")]))
+    seeds = decontaminate.item_seeds(known, config)
+    assert sorted(t for _, t in seeds.dtypes) == ["bigint", "bigint", "int", "int"]
+    assert seeds.count() == sum(3000 - len(m) + 1 for m in config.masks) + 1
+    text = " ".join(prose(73, 3000, 90_000).split()[500:2500])
+    for tight in (config, decontaminate.SeedConfig(broadcast_bytes=0)):
+        docs = documents(spark, [(5, text), (6, "so alpha beta"), (7, prose(74, 50))])
+        got = decontaminate.contaminated(docs, items(spark, [(1, prose(73, 3000, 90_000)), (2, "alpha beta")]), tight).collect()
+        assert collected_rows(got) == [(5, 1, -500, 2000, 2000, 13), (6, 2, 1, 2, 2, 2)]
+
+
 def collected_rows(rows):
     return sorted(tuple(r) for r in rows)
 
