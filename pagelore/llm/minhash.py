@@ -11,7 +11,7 @@
     A prefix filter (a pair as similar as that shares one of the rarest shingles) and
     components that are joined already leave few pairs to look at.
 4.  A cluster too large for one task is settled by rounds: some nodes at a time are sent to
-    all parts of the cluster, until its nodes are joined or have all been sent.
+    all parts of the cluster, until those that have not been sent lie in one component.
 """
 
 from __future__ import annotations
@@ -250,6 +250,9 @@ def _settle_large(sets: DataFrame, config: MinHashConfig) -> DataFrame:
             order = (F.col("members") == F.col("greatest")).cast("int")
         else:
             order = F.col("members") * 0
+        # Only two unsent nodes of different components can still be an unseen link.
+        unsettled = waiting.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("cluster")
+        waiting = waiting.join(unsettled, "cluster", "left_semi")
         chosen = [r.node for r in waiting.orderBy(order, F.xxhash64("node"), "node").select("node").limit(config.round_nodes).collect()]
         if not chosen:
             return roots.select("node", "root")

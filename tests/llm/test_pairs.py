@@ -64,6 +64,18 @@ def test_large_clusters_go_by_rounds(spark):
     assert collected(minhash.near_duplicates(documents(spark, texts), config), *NAMES) == sorted(plain_groups(texts, 3, 85), key=repr)
 
 
+def test_rounds_end_when_unsent_nodes_are_joined(spark, monkeypatch):
+    base = list(range(1, 61))
+    rows = [(k, 0, np.array([*base, 100 + k], dtype=np.uint64).tobytes()) for k in range(20)]
+    rows.append((50, 0, np.arange(500, 560, dtype=np.uint64).tobytes()))
+    stored, names = minhash.materialize, []
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: names.append(name) or stored(df, name))
+    sets = spark.createDataFrame(rows, "doc_id long, cluster long, hashes binary")
+    got = minhash._settle_large(sets, minhash.MinHashConfig(words=3, percent=85, round_nodes=2))
+    assert {r.node: r.root for r in got.collect()} == {**{k: 0 for k in range(20)}, 50: 50}
+    assert names.count("sent") <= 3
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
