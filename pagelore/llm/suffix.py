@@ -1,10 +1,10 @@
-"""Suffix-array dedup: depth-limited radix sort of suffixes.
+"""Dedup of repeated windows by minimizer grouping, in place of a radix sort of suffixes.
 
-Suffixes are ordered through ``depth`` bytes only, by passes over digits of their first
-``depth`` bytes, most significant first; suffixes left in one group after the last pass
-are exactly the repeated windows. After each pass groups of one are dropped.
+Repeated windows of ``depth`` bytes are found without ordering suffixes digit by digit: they
+are grouped by one of their own 32-byte strings, the digit, and compared whole, by hash,
+in one further step. Groups of one are dropped in between.
 
-The first digit is one of the window's own 32-byte strings: the one with the least hash.
+The digit is the window's string with the least hash.
 Equal windows have it at equal offsets, so equal windows stay together; and as neighbouring
 windows mostly share it, one row (an anchor) stands for all windows around it:
 
