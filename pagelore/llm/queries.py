@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.llm import chat_format, language, licence, mixing, quality_model, sql
+from pagelore.llm.collocations import collocations
 from pagelore.llm.common import fold, table
 from pagelore.llm.minhash import MinHashConfig, near_duplicates
 from pagelore.llm.decontaminate import contaminated
 from pagelore.llm.html_main import extract_main_text
 from pagelore.llm.quality_rules import quality_rules
+from pagelore.llm.ranked_search import ranked_search
 from pagelore.llm.registry import ORACLES, QUERIES, query
+from pagelore.llm.secrets import SecretLedger, report
 from pagelore.llm.suffix import suffix_dedup_report
+from pagelore.session import new_folder
 
 
 @query("op1_license_scans")
@@ -97,6 +101,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query("op11_secret_scans", sql.SECRETS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = SecretLedger(spark, new_folder(spark, "secret-ledger"))
+    return report(ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op12_ranked_search", sql.RANKED_SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_collocations", sql.COLLOCATIONS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def llm_queries():
     return dict(QUERIES)
 
