@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 Phrase = tuple[bytes, ...]
 #: (word, weight, state): an arc with a weight ends a phrase; weight 0 is a prefix only.
 Arc = tuple[bytes, int, int]
 
 
+def _close(path: list[list[Arc]], depth: int, states: list[tuple[Arc, ...]], known: dict[tuple[Arc, ...], int]) -> None:
+    """Close the open states below ``depth``, each as a new state or as an earlier one with the same arcs."""
+    while len(path) > depth + 1:
+        arcs = tuple(path.pop())
+        state = known.get(arcs)
+        if state is None:
+            state = known[arcs] = len(states)
+            states.append(arcs)
+        word, weight, _ = path[-1][-1]
+        path[-1][-1] = (word, weight, state)
+
+
 class CountAutomaton:
     """A minimal acyclic automaton whose arcs count the phrases that end with them.
 
@@ -25,36 +38,30 @@ class CountAutomaton:
     @classmethod
     def build(cls, counted: Iterable[tuple[Phrase, int]]) -> CountAutomaton:
         """From distinct phrases of one word or more, in ascending order of their words."""
+        return cls.build_runs((phrase[:-1], phrase[-1:], (count,)) for phrase, count in counted)
+
+    @classmethod
+    def build_runs(cls, runs: Iterable[tuple[Phrase, Sequence[bytes], Sequence[int]]]) -> CountAutomaton:
+        """The same from runs: neighbours that differ in their last words only, as (words before, last words, counts)."""
         states: list[tuple[Arc, ...]] = [()]
         known: dict[tuple[Arc, ...], int] = {(): 0}
         # The open path: arcs of each open state; the last arc of each leads to the next open state.
         path: list[list[Arc]] = [[]]
         before: Phrase = ()
-
-        def close(depth: int) -> None:
-            while len(path) > depth + 1:
-                arcs = tuple(path.pop())
-                state = known.get(arcs)
-                if state is None:
-                    state = known[arcs] = len(states)
-                    states.append(arcs)
-                word, weight, _ = path[-1][-1]
-                path[-1][-1] = (word, weight, state)
-
-        for phrase, count in counted:
+        for prefix, words, counts in runs:
             same = 0
-            for a, b in zip(before, phrase):
+            for a, b in zip(before, prefix):
                 if a != b:
                     break
                 same += 1
-            close(same)
-            for word in phrase[same:-1]:
+            _close(path, same, states, known)
+            for word in prefix[same:]:
                 path[-1].append((word, 0, 0))
                 path.append([])
-            path[-1].append((phrase[-1], count, 0))
+            path[-1] += zip(words, counts, repeat(0))
             path.append([])
-            before = phrase
-        close(0)
+            before = (*prefix, words[-1])
+        _close(path, 0, states, known)
         states.append(tuple(path[0]))
         return cls(states)
 
@@ -74,8 +81,16 @@ class CountAutomaton:
 
     def add_to(self, sums: dict[Phrase, int]) -> None:
         """Add the weights of this automaton to those of others."""
-        for phrase, weight in self.items():
-            sums[phrase] = sums.get(phrase, 0) + weight
+        states, held = self.states, sums.get
+        todo: list[tuple[Phrase, int]] = [((), len(states) - 1)]
+        while todo:
+            before, state = todo.pop()
+            for word, weight, following in states[state]:
+                phrase = (*before, word)
+                if weight:
+                    sums[phrase] = held(phrase, 0) + weight
+                if following:
+                    todo.append((phrase, following))
 
     def compose(self, wanted: CountAutomaton) -> Iterator[tuple[Phrase, int]]:
         """Phrases of both, in order, with the weights of this one: both are walked side by side."""

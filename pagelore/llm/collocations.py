@@ -4,7 +4,7 @@ Counts are weighted acyclic automata (``automata.py``):
 
 1.  A shard, some megabytes of text in a task, sorts its n-grams and builds an automaton of their
     counts for each prefix range. A range is a hash range of an n-gram's first words, as many
-    as the shortest n-grams of the pass have, so that no first word makes a range hot.
+    as the shortest n-grams of the pass have; a first word is spread over an eighth of the ranges.
 2.  The task of a range adds the automata of all shards and keeps the phrases that reach the least count.
 3.  The parts of all candidates are looked up by composing, range by range, the automaton of
     the counts with the automaton of the parts.
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,7 @@ class CollocationConfig:
     longest: int = 5
     per_lang: int = 2000
     #: Bytes of text of a shard.
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 32 << 20
     #: Bits of the set of frequent words, or pairs; a multiple of 32768.
     filter_bits: int = 1 << 26
     #: Phrases and parts of a range that are composed at once.
@@ -53,17 +54,6 @@ _FOLD = bytes(
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Numbers of words in order of appearance; -1 ends a piece, -2 is nothing."""
-
-    def __init__(self) -> None:
-        super().__init__({b"": -2, b"\n": -1})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self) - 2
-        return number
-
-
 def _extend(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of phrases that are a word longer."""
     return mix64(hashes * _NEXT + words)
@@ -79,94 +69,118 @@ def phrase_hash(lang: str, phrase: Phrase) -> int:
 
 
 class _Shard:
-    """Words of some megabytes of text, by language."""
+    """Some megabytes of text, by language, with line feeds between pieces and blanks between words."""
 
     def __init__(self) -> None:
-        self.words: dict[str, _Words] = {}
-        self.texts: dict[str, list[np.ndarray]] = {}
+        self.texts: dict[str, list[bytes]] = {}
         self.held = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        words = self.words.setdefault(lang, _Words())
-        tokens = text.translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
-        numbers = np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens))
-        self.texts.setdefault(lang, []).append(np.append(numbers[numbers != -2], np.int32(-1)))
+        self.texts.setdefault(lang, []).append(text.translate(_FOLD))
         self.held += len(text)
 
     def rows(self, shortest: int, longest: int, bits: np.ndarray | None, ranges: int) -> Iterator[tuple[int, str, int, bytes]]:
         """(range, lang, words, automaton); the words of a language are counted in one of its rows."""
         for lang, texts in self.texts.items():
-            names = sorted(list(self.words[lang])[2:])
-            place = np.full(len(names) + 1, -1, np.int64)
-            for rank, name in enumerate(names):
-                place[self.words[lang][name]] = rank
-            # Words are their places in order; -1 stays -1.
-            tokens = place[np.concatenate(texts)]
+            tokens, names = _numbered(texts)
             seed = xxhash.xxh64_intdigest(lang)
             hashes = np.fromiter((xxhash.xxh64_intdigest(n, seed) for n in names), np.uint64, len(names))
             left = int((tokens >= 0).sum())
-            for number, grams in _grams(tokens, hashes, shortest, longest, bits, ranges):
-                counted = ((tuple([names[w] for w in gram if w >= 0]), count) for gram, count in grams)
-                yield number, lang, left, CountAutomaton.build(counted).to_bytes()
+            for number, runs in _grams(tokens, hashes, shortest, longest, bits, ranges):
+                spelled = ((tuple([names[w] for w in prefix]), [names[w] for w in last], counts) for prefix, last, counts in runs)
+                yield number, lang, left, CountAutomaton.build_runs(spelled).to_bytes()
                 left = 0
             if left:
                 yield 0, lang, left, CountAutomaton.build(()).to_bytes()
 
 
-def _grams(tokens, hashes, shortest, longest, bits, ranges) -> Iterator[tuple[int, Iterator[tuple[list[int], int]]]]:
-    """The distinct n-grams of each range with their counts, in order of their words."""
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Words as places in the sorted list of distinct words, -1 between pieces; and that list."""
+    whole = b"\n".join(texts).replace(b"\n", b" \n ")
+    coded = pc.split_pattern(pa.array([whole], pa.large_binary()), b" ").flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names = coded.dictionary.take(order).to_pylist()
+    # What lies between two blanks, and the line feed, sort before and between the words.
+    marks = [i for i, name in enumerate(names) if name in (b"", b"\n")]
+    place = np.arange(len(names)) - np.searchsorted(marks, np.arange(len(names)))
+    place[marks] = [-2 if names[i] == b"" else -1 for i in marks]
+    of_code = np.empty(len(names), np.int64)
+    of_code[order.to_numpy()] = place
+    tokens = of_code[coded.indices.to_numpy()]
+    return tokens[tokens != -2], [name for name in names if name not in (b"", b"\n")]
+
+
+def _grams(tokens, hashes, shortest, longest, bits, ranges) -> Iterator[tuple[int, Iterator[tuple[list[int], list[int], list[int]]]]]:
+    """The distinct n-grams of each range with their counts, in order of their words, as runs that share all but the last."""
     n, width = len(tokens), len(hashes)
     if not width:
         return
     good = tokens >= 0
     ids, digest = tokens.copy(), hashes[tokens]
-    columns, counts, starts = [], [], []
+    # Words of the n-grams that ``ids`` numbers.
+    spelled = np.arange(width)[:, None]
     # Windows of one word less than the shortest n-gram are looked up in the bits.
     for length in range(2, shortest):
         shift = length - 1
         good[:n - shift] &= tokens[shift:] >= 0
         good[n - shift:] = False
         digest[:n - shift] = _extend(digest[:n - shift], hashes[tokens[shift:]])
-        at = np.flatnonzero(good)
-        ids[at] = np.unique(ids[at] * width + tokens[at + shift], return_inverse=True)[1]
     if bits is not None:
         slots = (digest % np.uint64(8 * len(bits))).astype(np.int64)
         good &= (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
     frequent = good.copy()
-    for length in range(shortest, longest + 1):
+    columns, counts = [], []
+    for length in range(max(1, shortest - 1), longest + 1):
         at = np.flatnonzero(good)
-        if length > 1:
-            shift = length - 1
-            later = length - max(1, shortest - 1)
+        shift = length - 1
+        if length >= shortest and length > 1:
             at = at[at + shift < n]
-            at = at[(tokens[at + shift] >= 0) & frequent[at + later]]
+            at = at[(tokens[at + shift] >= 0) & frequent[at + length - max(1, shortest - 1)]]
             good = np.zeros(n, bool)
             good[at] = True
-            keys = ids[at] * width + tokens[at + shift]
-        else:
-            keys = ids[at]
         if not len(at):
             break
-        _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        ids[at] = inverse
-        grams = np.full((len(first), longest), -1, np.int64)
-        for i in range(length):
-            grams[:, i] = tokens[at[first] + i]
-        columns.append(grams)
-        counts.append(count)
-        starts.append(at[first])
+        if length > 1:
+            # Windows below the shortest length are numbered word by word, n-grams by the numbers of their prefixes.
+            keys = ids[at] * width + tokens[at + shift]
+            found, count = np.unique(keys, return_counts=True)
+            spelled = np.column_stack([spelled[found // width], found % width])
+            if length < longest:
+                ids[at] = np.searchsorted(found, keys)
+        elif shortest == 1:
+            found, count = np.unique(tokens[at], return_counts=True)
+            columns.append(found[:, None])
+            counts.append(count)
+            continue
+        if length >= shortest:
+            columns.append(spelled)
+            counts.append(count)
     if not columns:
         return
-    grams, counts, starts = np.concatenate(columns), np.concatenate(counts), np.concatenate(starts)
-    prefix = hashes[tokens[starts]]
-    for i in range(1, shortest):
-        prefix = _extend(prefix, hashes[tokens[starts + i]])
-    number = (prefix % np.uint64(ranges)).astype(np.int64)
-    order = np.lexsort((*grams.T[::-1], number))
-    grams, counts, number = grams[order], counts[order], number[order]
-    edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist() + [len(number)]
+    sizes = np.concatenate([np.full(len(c), c.shape[1]) for c in columns])
+    grams = np.concatenate([np.pad(c, ((0, 0), (0, longest - c.shape[1])), constant_values=-1) for c in columns])
+    counts = np.concatenate(counts)
+    prefix = hashes[grams[:, 0]]
+    for i in range(1, shortest - 1):
+        prefix = _extend(prefix, hashes[grams[:, i]])
+    if shortest > 1:
+        # A prefix is spread over an eighth of the ranges by its next word.
+        prefix = prefix % np.uint64(ranges) + hashes[grams[:, shortest - 1]] % np.uint64(max(1, ranges // 8))
+    number = (prefix % np.uint64(ranges)).astype(np.int32)
+    keys = (number,) if len(columns) == 1 else (*grams.T[::-1], number)
+    order = np.lexsort(keys)
+    grams, counts, number, sizes = grams[order], counts[order], number[order], sizes[order]
+    last = grams[np.arange(len(grams)), sizes - 1]
+    # A run ends where the range, the length or a word before the last one changes.
+    differs = (grams[1:] != grams[:-1]) & (np.arange(longest) != sizes[1:, None] - 1)
+    fresh = np.r_[True, differs.any(axis=1) | (sizes[1:] != sizes[:-1]) | (number[1:] != number[:-1])]
+    begins = np.flatnonzero(fresh)
+    ends = np.r_[begins[1:], len(grams)].tolist()
+    prefixes = [g[:k - 1] for g, k in zip(grams[begins].tolist(), sizes[begins].tolist())]
+    last, counts, of_run, begins = last.tolist(), counts.tolist(), number[begins], begins.tolist()
+    edges = np.flatnonzero(np.r_[True, of_run[1:] != of_run[:-1]]).tolist() + [len(of_run)]
     for a, b in zip(edges, edges[1:]):
-        yield int(number[a]), zip(grams[a:b].tolist(), counts[a:b].tolist())
+        yield int(of_run[a]), ((prefixes[i], last[begins[i]:ends[i]], counts[begins[i]:ends[i]]) for i in range(a, b))
 
 
 _SHARD_SCHEMA = "range int, lang string, words bigint, automaton binary"
