@@ -27,7 +27,8 @@ from pagelore.operators.chunking import (
 )
 from pagelore.operators.embedding import embed_chunks, embedding_report
 from pagelore.operators.first_wins import repeated_groups
-from pagelore.operators.points import index_points, latest_points, read_points, upsert_points
+from pagelore.operators.holders import replace_documents
+from pagelore.operators.points import build_points, index_points, latest_points, read_points, upsert_points
 from pagelore.operators.validation import (
     build_manifest,
     entry_outcomes,
@@ -415,3 +416,26 @@ def _(spark, folder):
     """The status row of a freshly built point table."""
     path = new_folder(spark, "point-files")
     return index_points(points(spark, folder), path, DIMENSION)
+
+
+@query(
+    "stream_replace",
+    S.with_tables(
+        "chunks",
+        f"""SELECT {S.uuid5('chunk_id')} AS id, chunk_id, document_id, chunk_hash FROM (
+      SELECT *, document_id || '__' || substr(chunk_hash, 1, 16) AS chunk_id,
+        CASE WHEN substr(document_id, 5, 1) < '4' THEN 2 WHEN substr(document_id, 5, 1) < 'a' THEN 0 ELSE 1 END AS arrival FROM chunks)
+    WHERE (arrival < 2 OR chunk_index = 0) AND substr(document_id, 5, 1) <> '5'
+    QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY arrival, canonical_url, document_id, chunk_index) = 1""",
+    ),
+)
+def _(spark, folder):
+    """Documents in three batches; the last one brings some again with their first passage only, and empties others."""
+    path = new_folder(spark, "point-files")
+    every = build_points(embed_chunks(document_chunks(spark, folder).drop("position"), ENCODER), DIMENSION)
+    every = stored(spark, folder, "passages", lambda s, f: every)
+    digit = F.substring("document_id", 5, 1)
+    shorter = every.filter((digit < "4") & (F.col("chunk_index") == 0))
+    for new in (every.filter(digit < "a"), every.filter(digit >= "a"), shorter):
+        replace_documents(new, every.filter((digit < "4") | (digit == "5")) if new is shorter else new, path, DIMENSION)
+    return read_points(spark, path).select("id", "chunk_id", "document_id", "chunk_hash")

@@ -1,15 +1,16 @@
 """Exact nearest points of a batch of questions.
 
-The points are scanned once per block of questions. A task keeps a running top-k
-per question while it streams its share of the points, so neither the question x
-point product nor any ungrouped list of it is ever materialised, and the shuffle
-afterwards carries at most k rows per question and task.
+A task keeps a running top-k per question while it streams its share of the points, so
+neither the question x point product nor any ungrouped list of it is ever materialised, and
+the shuffle afterwards carries at most k rows per question and task. Questions that fit
+one block are sent to all tasks. More of them are dealt to blocks and the points to splits, both as
+rows; each pair of a block and a split is one group of one job, and the top-k of the pairs
+are merged. Nothing but sizes passes the driver then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.operators.first_wins import first_per_key
-from pagelore.session import materialize
 
 # Scores held at once by a task, and partial results that may reach the shuffle.
 _CELLS = 4_000_000
@@ -49,56 +49,91 @@ def _best(question: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
     return question[keep], score[keep], ident[keep]
 
 
+class _Top:
+    """The running top-k of a block of questions."""
+
+    def __init__(self, names: list[str], matrix: np.ndarray, k: int, decimals: int) -> None:
+        self.names, self.matrix, self.k, self.decimals = names, matrix, k, decimals
+        self.best = (np.empty(0, np.int64), np.empty(0), np.empty(0, "U1"))
+        self.floor = np.full(len(names), -np.inf)
+
+    def add(self, ids: pa.Array, points: np.ndarray) -> None:
+        matrix, k, best, count = self.matrix, self.k, self.best, len(self.names)
+        rows_at_once = max(1, _CELLS // max(count, 1))
+        step = 10.0**-self.decimals
+        for at in range(0, len(points), rows_at_once):
+            scores = matrix @ points[at : at + rows_at_once].T
+            # Rounding moves a score by half a step at most, so anything a whole step
+            # below the k-th best so far is out. Only what is left gets rounded.
+            bar = self.floor - step
+            hits = scores >= bar[:, None]
+            if scores.shape[1] > k and np.count_nonzero(hits) > _HITS_PER_RESULT * k * count:
+                kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                hits = scores >= np.maximum(bar, kth - step)[:, None]
+            question, row = np.nonzero(hits)
+            if not len(row):
+                continue
+            # Adding zero turns a rounded -0.0 into 0.0.
+            kept = np.round(scores[question, row], self.decimals) + 0.0
+            # Ids are only decoded for the few rows that got this far.
+            hit, place = np.unique(row, return_inverse=True)
+            idents = np.asarray(ids.take(pa.array(at + hit)).to_pylist(), dtype=str)
+            best = _best(
+                np.concatenate([best[0], question]),
+                np.concatenate([best[1], kept]),
+                np.concatenate([best[2], idents[place]]),
+                k,
+            )
+            sizes = np.bincount(best[0], minlength=count)
+            last = np.cumsum(sizes) - 1
+            full = sizes == k
+            self.floor[full] = best[1][last[full]]
+        self.best = best
+
+    def columns(self) -> list[pa.Array]:
+        return [
+            pa.array([self.names[i] for i in self.best[0]], pa.string()),
+            pa.array(self.best[2].tolist(), pa.string()),
+            pa.array(self.best[1]),
+        ]
+
+
+_FOUND = "query_id string, id string, score double"
+
+
 def _scanner(questions, dimension: int, k: int, decimals: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = questions.value
-        count = len(names)
-        rows_at_once = max(1, _CELLS // max(count, 1))
-        best = (np.empty(0, np.int64), np.empty(0), np.empty(0, "U1"))
-        floor = np.full(count, -np.inf)
-        step = 10.0**-decimals
+        top = _Top(*questions.value, k, decimals)
         for batch in batches:
-            points = _as_matrix(batch.column(1), dimension)
-            for at in range(0, len(points), rows_at_once):
-                scores = matrix @ points[at : at + rows_at_once].T
-                # Rounding moves a score by half a step at most, so anything a whole step
-                # below the k-th best so far is out. Only what is left gets rounded.
-                bar = floor - step
-                hits = scores >= bar[:, None]
-                if scores.shape[1] > k and np.count_nonzero(hits) > _HITS_PER_RESULT * k * count:
-                    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    hits = scores >= np.maximum(bar, kth - step)[:, None]
-                question, row = np.nonzero(hits)
-                if not len(row):
-                    continue
-                # Adding zero turns a rounded -0.0 into 0.0.
-                kept = np.round(scores[question, row], decimals) + 0.0
-                # Ids are only decoded for the few rows that got this far.
-                hit, place = np.unique(row, return_inverse=True)
-                idents = np.asarray(batch.column(0).take(pa.array(at + hit)).to_pylist(), dtype=str)
-                best = _best(
-                    np.concatenate([best[0], question]),
-                    np.concatenate([best[1], kept]),
-                    np.concatenate([best[2], idents[place]]),
-                    k,
-                )
-                sizes = np.bincount(best[0], minlength=count)
-                last = np.cumsum(sizes) - 1
-                full = sizes == k
-                floor[full] = best[1][last[full]]
-        if len(best[0]):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in best[0]], pa.string()),
-                    pa.array(best[2].tolist(), pa.string()),
-                    pa.array(best[1]),
-                ],
-                names=["query_id", "id", "score"],
-            )
+            top.add(batch.column(0), _as_matrix(batch.column(1), dimension))
+        if len(top.best[0]):
+            yield pa.RecordBatch.from_arrays(top.columns(), names=["query_id", "id", "score"])
+
+    return scan
+
+
+def _pair_scanner(dimension: int, k: int, decimals: int):
+    def scan(points: pa.Table, questions: pa.Table) -> pa.Table:
+        names = questions.column("query_id").to_pylist()
+        vectors = questions.column("vector").combine_chunks()
+        top = _Top(names, _as_matrix(vectors, dimension) if names else np.zeros((0, dimension)), k, decimals)
+        if names:
+            for batch in points.select(["id", "vector"]).to_batches():
+                top.add(batch.column(0), _as_matrix(batch.column(1), dimension))
+        return pa.Table.from_arrays(top.columns(), names=["query_id", "id", "score"])
 
     return scan
 
 
+def _paired(points: DataFrame, questions: DataFrame, dimension: int, k: int, decimals: int, blocks: int, splits: int) -> DataFrame:
+    """Top-k of every pair of a block of questions and a split of points, as one job of blocks x splits groups."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(splits)).alias("split"), every(blocks).alias("block"))
+    right = questions.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), every(splits).alias("split"))
+    pairs = left.groupBy("block", "split").cogroup(right.groupBy("block", "split"))
+    return pairs.applyInArrow(_pair_scanner(dimension, k, decimals), _FOUND)
+
+
 def nearest_points(
     points: DataFrame,
     questions: DataFrame,
@@ -110,8 +145,8 @@ def nearest_points(
     """(query_id, id, score, rank) of the ``k`` most similar points of every question.
 
     ``points`` has ``id`` and ``vector``, ``questions`` has ``query_id`` and ``vector``.
-    Only one block of questions, of at most ``block_bytes``, is held at a time; more
-    questions mean more passes over the points, not more memory.
+    A task holds one block of questions, of about ``block_bytes`` at most, and of the points a
+    batch or, if there are more questions, a split of as many bytes.
     """
     spark = points.sparkSession
     questions = questions.select(
@@ -125,32 +160,19 @@ def nearest_points(
         return empty
     blocks = -(-size.n * size.d * 8 // block_bytes)
     context = spark.sparkContext
-    # Every task sends up to k rows per question, so many questions call for longer tasks.
-    tasks = tasks or max(4 * context.defaultParallelism, _PARTIAL_ROWS // (size.n * k))
-    scanned = points.select(F.col("id").cast("string").alias("id"), "vector").coalesce(tasks)
-
-    def one_block(number: int) -> DataFrame | None:
-        part = questions
-        if blocks > 1:
-            part = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        table = part.toArrow()
-        if not table.num_rows:
-            return None
-        names = table.column("query_id").to_pylist()
+    scanned = points.select(F.col("id").cast("string").alias("id"), "vector")
+    if blocks > 1:
+        splits = max(1, -(-points.count() * size.d * 8 // block_bytes))
+        found = _paired(scanned, questions, size.d, k, decimals, blocks, splits)
+    else:
+        # Every task sends up to k rows per question, so many questions call for longer tasks.
+        tasks = tasks or max(4 * context.defaultParallelism, _PARTIAL_ROWS // (size.n * k))
+        table = questions.toArrow()
         matrix = _as_matrix(table.column("vector").combine_chunks(), size.d)
-        shared = context.broadcast((names, matrix))
-        found = scanned.mapInArrow(
-            _scanner(shared, size.d, k, decimals), "query_id string, id string, score double"
-        )
-        order = [F.col("score").desc(), F.col("id")]
-        top = first_per_key(found, ["query_id"], order, k)
-        return materialize(top, "nearest") if blocks > 1 else top
-
-    parts = [p for p in (one_block(b) for b in range(blocks)) if p is not None]
-    if not parts:
-        return empty
-    top = reduce(DataFrame.unionByName, parts)
-    return with_rank(top)
+        shared = context.broadcast((table.column("query_id").to_pylist(), matrix))
+        found = scanned.coalesce(tasks).mapInArrow(_scanner(shared, size.d, k, decimals), _FOUND)
+    order = [F.col("score").desc(), F.col("id")]
+    return with_rank(first_per_key(found, ["query_id"], order, k))
 
 
 def with_rank(top: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def chunk_corpus(manifest: DataFrame, documents: DataFrame, cfg: ChunkConfig = C
     )
 
 
+def document_passages(manifest: DataFrame, documents: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """All chunks of all documents the manifest leads to, also those that other documents have."""
+    entries = materialize(resolve_entries(manifest, documents), "entries")
+    return chunk_documents(manifest_documents(entries, documents), cfg).drop("position", "copies")
+
+
 def embed_corpus(chunks: DataFrame, encoder) -> DataFrame:
     """Points of chunks, ready for the point table."""
     return build_points(embed_chunks(chunks, encoder), encoder.dimension)

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelore.config import AnswerConfig, ChunkConfig, CrawlConfig, SearchConfig
+from pagelore.functions.ids import document_id
+from pagelore.functions.urls import identity_url
 from pagelore.operators.extract import extract_pages
 from pagelore.operators.frontier import latest_documents
-from pagelore.operators.points import read_points, upsert_points, write_points
+from pagelore.operators.holders import replace_documents
+from pagelore.operators.points import read_points
 from pagelore.plans.chat import answer_questions
-from pagelore.plans.corpus import chunk_corpus, embed_corpus, validate_corpus
-from pagelore.session import Scratch, path_exists
+from pagelore.plans.corpus import document_passages, embed_corpus, validate_corpus
+from pagelore.session import Scratch
 
 
 def pages_into_points(
@@ -26,25 +29,21 @@ def pages_into_points(
 ) -> StreamingQuery:
     """Extract, validate, chunk and embed new pages and merge them into the point table.
 
-    All points of a page that comes again are replaced. A passage that the table has under
-    another document is not stored twice. A repeated batch changes nothing. Intermediate
-    tables of a batch go when it is done.
+    All points of a page that comes again are replaced, also if too little of it is left to be
+    stored. A passage that several documents have is stored once and passes to the next
+    of them when its document loses it (``operators/holders.py``). A repeated batch changes
+    nothing. Intermediate tables of a batch go when it is done.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        with Scratch(spark, "stream") as scratch:
-            extracted = extract_pages(batch).filter(F.col("word_count") >= site.min_document_words)
-            documents = scratch.keep(latest_documents(extracted))
+        with Scratch(batch.sparkSession, "stream") as scratch:
+            extracted = scratch.keep(extract_pages(batch))
+            documents = scratch.keep(latest_documents(extracted.filter(F.col("word_count") >= site.min_document_words)))
             manifest = validate_corpus(documents, site).manifest
-            points = scratch.keep(embed_corpus(chunk_corpus(manifest, documents, chunking).chunks, encoder))
-            if path_exists(spark, f"{points_path}/_notes"):
-                mine = points.select("document_id").distinct()
-                others = read_points(spark, points_path).join(mine, "document_id", "left_anti")
-                known = others.select("chunk_hash").join(points.select("chunk_hash").distinct(), "chunk_hash", "left_semi").distinct()
-                upsert_points(scratch.keep(points.join(known, "chunk_hash", "left_anti").select(*points.columns)), points_path, replaced=mine)
-            else:
-                write_points(points, points_path, encoder.dimension)
+            points = scratch.keep(embed_corpus(document_passages(manifest, documents, chunking), encoder))
+            source = F.when(F.col("canonical_url") != "", F.col("canonical_url")).otherwise(F.col("url"))
+            came = extracted.select(document_id(identity_url(source, site)).alias("document_id"))
+            replace_documents(points, came.filter(F.col("document_id").isNotNull()), points_path, encoder.dimension)
 
     writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -140,6 +140,30 @@ def test_streams(spark, tmp_path):
     assert direct.first().status_code == 400
 
 
+def test_a_passage_passes_to_its_next_page(spark, tmp_path):
+    site, enc, path = CrawlConfig(canonical_host="www.h.example"), HashedWords(EmbedConfig(dimension=16)), str(tmp_path / "points")
+    (tmp_path / "pages").mkdir()
+    shared = " ".join(f"shared{i}" for i in range(40))
+
+    def run(n, **texts):
+        for name, text in texts.items():
+            row = {"url": f"https://www.h.example/{name}", "html": f"<title>t</title><body><h1>t</h1><p>{text}</p></body>"}
+            (tmp_path / "pages" / f"{name}{n}.json").write_text(json.dumps(row))
+        stream = spark.readStream.schema("url string, html string").json(str(tmp_path / "pages"))
+        pages_into_points(stream, path, str(tmp_path / "cp"), enc, site).awaitTermination(300)
+        return sorted((r.url.rsplit("/", 1)[1], "shared0" in r.text) for r in read_points(spark, path).collect())
+
+    assert run(1, a=shared) == [("a", True)]
+    assert run(2, b=shared) == [("a", True)]
+    # The first page changes: the second one still says it.
+    assert run(3, a=" ".join(f"new{i}" for i in range(40))) == [("a", False), ("b", True)]
+    # A page of which too little is left is not found any more.
+    assert run(4, a="thin") == [("b", True)]
+    assert run(5, a=shared, b="thin") == [("a", True)]
+    # A batch that comes again changes nothing.
+    assert run(6, a=shared) == [("a", True)]
+
+
 def test_a_model_is_asked_once_per_prompt(spark, tmp_path):
     log = str(tmp_path / "calls")
 

@@ -39,6 +39,18 @@ def test_similarity_scan_reads_ids_and_vectors_only(spark, tmp_path):
     assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
 
 
+def test_blocks_of_questions_and_splits_of_points_are_one_job(spark, tmp_path):
+    points = _points(spark, tmp_path)
+    rows = [(f"q{i}", [float(i % 5), 1.0]) for i in range(40)] + [("none", None)]
+    asked = spark.createDataFrame(rows, "query_id string, vector array<float>")
+    # Blocks of 3 questions and splits of 3 points; neither is collected to be sent out.
+    found = nearest_points(points, asked, 4, block_bytes=48)
+    plan = _plan(found)
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+    assert sorted(found.collect()) == sorted(nearest_points(points, asked, 4).collect()) and found.count() == 160
+
+
 def test_coverage_filter_reaches_the_scan(spark, tmp_path):
     anchors = coverage_anchors(_points(spark, tmp_path), IntentConfig(coverage_urls=("u1", "u2")))
     plan = _plan(anchors)
