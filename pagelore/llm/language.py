@@ -32,7 +32,15 @@ class LanguageConfig:
     cache_words: int = 200_000
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters (Unicode L). Numbers that are no decimal digits, such as fractions, part them."""
+    runs = _RUNS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 @dataclass
@@ -95,15 +103,13 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languag
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)
     )
     langs = [r.lang for r in usable.select("lang").distinct().collect()]
-    limit = docs.sparkSession.createDataFrame([(k,) for k in langs], "lang string") if langs else None
-    if limit is None:
+    if not langs:
         return build({}, config)
-    chosen = None
-    for k in sorted(langs):
-        part = (usable.where(F.col("lang") == k).select("doc_id").distinct()
-                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_train_docs))
-        chosen = part if chosen is None else chosen.unionAll(part)
-    sample = usable.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text")
+    # A window keeps a bounded number of ids of each language in every task.
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = usable.select("lang", "doc_id").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= config.max_train_docs)
+    chosen = chosen.select("lang", "doc_id").distinct()
+    sample = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     counted = (
@@ -117,7 +123,7 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languag
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``lang_pred`` and ``score``, its probability.
+    """All columns of ``docs``, ``lang_pred`` and ``score``, its probability; columns of these names give way.
 
     ``und`` with score 0 for a text that is null or has no letter, or where no language was
     learned. Ties go to the first language by name. Only the text is looked at.
@@ -144,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in texts:
             names, scores = [], []
             for text in batch:
-                found = LETTERS.findall(text.lower()) if text else []
+                found = letter_runs(text.lower()) if text else []
                 if not found or not model.langs:
                     names.append("und")
                     scores.append(0.0)
@@ -166,6 +172,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 scores.append(float(total[best] / total.sum()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return small_batches(docs).withColumn("_p", predict(F.col(text))).select(
-        *[docs[c] for c in docs.columns], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
-    )
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    row = F.struct(*[docs[c] for c in kept]).alias("row")
+    return small_batches(docs).select(row, predict(F.col(text)).alias("p")).select("row.*", "p.lang_pred", "p.score")

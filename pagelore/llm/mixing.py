@@ -2,18 +2,19 @@
 
 Every document of a source should be copied target / source size times. The whole part
 is taken; of the fractional parts, two are paired and words are moved between them at
-random, as many up as down, until one of the two is whole. Its partner goes on to the
+random, as many up as down, until one of the two is whole. The other one goes on to the
 next pair, so the words taken by a source are its target up to one last document.
 
-Documents are dealt at random to groups of bounded size, each group is folded to one
-residual, the residuals are dealt to groups again: a tree of a few levels. Documents
-that are large for their source are settled before, each against all that is left of its
-source, so that the last residual is small. Only ids and sizes are moved, never texts.
+Documents are dealt at random to groups of bounded size. In a group each document, the largest
+first, is paired with the bundle of all smaller ones, which have one fraction in common:
+either the document becomes whole, or the bundle does and the document is the group's
+residual; else the smallest one is. Residuals are dealt to groups again and paired one by one: a
+tree of a few levels. Every document is settled by such an exchange. Only ids and
+sizes are moved, never texts.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +31,8 @@ class MixConfig:
     #: Words of the mix per 100 words of input.
     percent: int = 150
     most_copies: int = 2
-    #: A document is large if it has more than this share of its source's words.
-    large_share: float = 1 / 400
-    #: Documents of a group of the tree, on average.
+    #: Documents of a group, and residuals of a group of the tree above, on average.
+    group: int = 400
     fan_in: int = 48
     seed: int = 17
 
@@ -114,45 +114,62 @@ def _pivot(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _settle_large(items: Column, target: Column, source_size: Column, most: int) -> Column:
-    """Large documents, largest first, each against the rest of its source.
+#: Fractions this near to 0 or 1 are whole: sums of doubles have erred by less.
+_WHOLE = 1e-9
 
-    The document gets floor or ceiling of what the rest would get on average; the words it
-    takes or leaves are the rest's. The expectation of everybody stays what it was.
+
+def _bundle_pivot(items: Column) -> Column:
+    """Fold a group, largest first: each document exchanges words with the bundle of those behind it.
+
+    All have the fraction ``p`` of their source. The exchange keeps everybody's expectation,
+    and the words of both together; what the bundle gains or loses falls on its documents by size.
     """
-    start = F.struct(target.alias("words"), source_size.cast("double").alias("left"), F.array().cast(_DONE).alias("done"))
+    total = F.aggregate(items, F.lit(0.0), lambda acc, x: acc - x.neg_size)
+    start = F.struct(
+        F.element_at(items, 1).p.alias("p"), total.alias("size"), F.lit(None).cast(_ITEM).alias("open"), F.array().cast(_DONE).alias("done")
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        size = (-x.neg_size).cast("double")
-        ratio = F.least(F.greatest(acc["words"] / acc["left"], F.lit(0.0)), F.lit(float(most)))
-        copies = F.least(F.floor(ratio + x.u), F.lit(most))
-        return F.struct(
-            (acc["words"] - copies * size).alias("words"), (acc["left"] - size).alias("left"),
-            F.concat(acc["done"], F.array(_done(x, copies))).alias("done"),
+        p, size = acc["p"], -x.neg_size
+        rest = acc["size"] - size
+        up, down = F.least(size * (1 - p), rest * p), F.least(size * p, rest * (1 - p))
+        rises = x.u * (up + down) < down
+        # Fractions of the document and of the bundle afterwards.
+        mine = F.when(rises, p + up / size).otherwise(p - down / size)
+        theirs = F.when(rest <= 0, p).when(rises, p - up / rest).otherwise(p + down / rest)
+        theirs = F.least(F.greatest(theirs, F.lit(0.0)), F.lit(1.0))
+        whole = lambda v: F.least(v, 1 - v) < _WHOLE
+        settled = F.concat(acc["done"], F.array(_done(x, x.base + F.round(F.when(whole(p), p).otherwise(mine)).cast("long"))))
+        out = lambda q, open_, done: F.struct(q.alias("p"), rest.alias("size"), open_.alias("open"), done.alias("done"))
+        return (
+            F.when(whole(p), out(p, acc["open"], settled))
+            .when(whole(mine), out(theirs, acc["open"], settled))
+            .otherwise(out(F.round(theirs), _item(x, mine), acc["done"]))
         )
 
-    return F.aggregate(items, start, step)
+    return F.aggregate(items, start, step, lambda acc: F.struct(acc["open"].alias("open"), acc["done"].alias("done")))
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """What the mix takes of every row of ``docs`` (doc_id, text, source).
 
-    Returns row_id, doc_id, source, size, source_size, target, copies, taken. ``row_id``
-    tells repeated rows of one doc_id apart (their sizes order them). A null text or a text
+    Returns row_id, doc_id, source, size, source_size, target, copies, taken. ``row_id`` counts rows
+    with the same doc_id, source and size, which are interchangeable. A null text or a text
     of white space has size 0 and is taken 0 times; null sources are one source; null
     doc_ids are rows like others. An empty table gives an empty result. Sizes are counted
-    in one pass and stored; the rest of the job moves ids and sizes.
+    in one pass and stored; the rest of the job moves ids and sizes. Texts are counted whole.
     """
-    same = Window.partitionBy("doc_id", "source").orderBy("size")
     counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = materialize(counted.withColumn("row_id", F.row_number().over(same).cast("long")), "mix-sizes")
+    alike = counted.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialize(
+        alike.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row_id")), "mix-sizes"
+    )
     aims = materialize(targets(sizes, config), "mix-targets")
     # One row per source: small next to the documents, yet not of a proven size, so Spark chooses the join.
     rows = sizes.join(aims, sizes["source"].eqNullSafe(aims["source"])).select(
         sizes["doc_id"], sizes["source"], "row_id", "size", "source_size", "target"
     )
-    key = (F.col("doc_id"), F.col("row_id"), F.col("source"))
-    large = F.col("size") > F.greatest(F.col("source_size") * config.large_share, F.lit(0.0))
+    key = (F.col("doc_id"), F.col("row_id"), F.col("source"), F.col("size"))
 
     def items(p: Column, base: Column, draw: int) -> Column:
         drawn = F.struct((-F.col("size")).alias("neg_size"), _uniform(config.seed + draw, *key).alias("u"), "row_id", "doc_id", base.alias("base"), p.alias("p"))
@@ -161,43 +178,34 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     def taken(folded: DataFrame) -> DataFrame:
         return folded.select("source", F.explode("done").alias("d")).select("source", "d.row_id", "d.doc_id", "d.size", "d.taken")
 
-    settled = materialize(
-        rows.where(large)
-        .groupBy("source", "source_size", "target")
-        .agg(items(F.lit(0.0), F.lit(0).cast("long"), 1))
-        .withColumn("fold", _settle_large(F.col("items"), F.col("target"), F.col("source_size"), config.most_copies))
-        .select("source", "fold.words", "fold.left", "fold.done"),
-        "mix-large",
-    )
-    left = settled.select(F.col("source").alias("_s"), "words", "left")
-    ratio = F.least(
-        F.greatest(F.coalesce("words", "target") / F.coalesce("left", F.col("source_size").cast("double")), F.lit(0.0)),
-        F.lit(float(config.most_copies)),
-    )
-    small = (
-        rows.where(~large & (F.col("size") > 0))
-        .join(left, F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select("source", "row_id", "doc_id", "size", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p"))
+    ratio = F.least(F.greatest(F.col("target") / F.col("source_size"), F.lit(0.0)), F.lit(float(config.most_copies)))
+    fractions = rows.where(F.col("size") > 0).select(
+        "source", "row_id", "doc_id", "size", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p")
     )
-    per_source = small.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
-    pending = materialize(
-        small.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-small"
-    )
-    parts = [taken(settled), rows.where(F.col("size") == 0).select("source", "row_id", "doc_id", "size", F.lit(0).cast("long").alias("taken"))]
-    most = pending.agg(F.max("n")).first()[0] or 0
-    levels = max(1, math.ceil(math.log(max(2, most), config.fan_in)))
-    for level in range(levels):
-        groups = (F.lit(1) if level == levels - 1 else F.ceil(F.col("n") / config.fan_in)).cast("long")
+    per_source = fractions.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
+    pending = fractions.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    parts = [rows.where(F.col("size") == 0).select("source", "row_id", "doc_id", "size", F.lit(0).cast("long").alias("taken"))]
+    most, width, level = per_source.agg(F.max("n")).first()[0] or 0, config.group, 0
+    while True:
+        last = most <= width
+        groups = (F.lit(1) if last else F.ceil(F.col("n") / width)).cast("long")
+        fold = _pivot if level else _bundle_pivot
         folded = materialize(
             pending.withColumn("groups", groups)
             .groupBy("source", "groups", F.pmod(F.xxhash64(F.lit(config.seed + 10 + level), *key), groups).alias("group"))
             .agg(items(F.col("p"), F.col("base"), 30 + level))
-            .withColumn("fold", _pivot(F.col("items")))
+            .withColumn("fold", fold(F.col("items")))
             .select("source", F.col("groups").alias("n"), "fold.open", "fold.done"),
             f"mix-level-{level}",
         )
         parts.append(taken(folded))
-        pending = folded.select("source", "n", "open.row_id", "open.doc_id", (-F.col("open.neg_size")).alias("size"), "open.base", "open.p")
+        # A group whose fraction was whole from the start leaves no residual.
+        pending = folded.where(F.col("open").isNotNull()).select(
+            "source", "n", "open.row_id", "open.doc_id", (-F.col("open.neg_size")).alias("size"), "open.base", "open.p"
+        )
+        if last:
+            break
+        most, width, level = -(-most // width), config.fan_in, level + 1
     # The last residual of a source is drawn by its own probability.
     up = (_uniform(config.seed + 2, *key) < F.col("p")).cast("long")
     parts.append(pending.select("source", "row_id", "doc_id", "size", ((F.col("base") + up) * F.col("size")).alias("taken")))

@@ -507,7 +507,9 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             out.append(rest.decode("utf-8") if at and rest.strip() else None if at else text)
         return pd.Series(out, dtype="object")
 
-    marked = _with_marks(docs, config).withColumn("_cut", cut("text", "_starts", "_stops"))
+    # Other columns travel in a struct, so that none of them can clash with the marks.
+    inner = docs.select("doc_id", "text", F.struct(*docs.columns).dropFields("text").alias("row"))
+    marked = _with_marks(inner, config).withColumn("_cut", cut("text", "_starts", "_stops"))
     return marked.where(F.col("_cut").isNotNull() | F.col("text").isNull()).select(
-        *[F.col("_cut").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+        *[F.col("_cut").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     )

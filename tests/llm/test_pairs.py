@@ -150,7 +150,7 @@ def test_repeated_bytes_match_brute_force(spark):
     texts = texts_with_passages()
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = sorted(plain_suffixes(texts), key=repr)
-    docs = documents(spark, texts, "spans", "digit", "_starts2")
+    docs = documents(spark, texts, "spans", "digit", "_starts", "_stops", "_id")
     assert collected(suffix.suffix_dedup_report(docs), *names) == want
     # Large groups take the pass over the cluster, and many rows are not sent to all executors.
     tight = suffix.SuffixConfig(group_rows=5, broadcast_rows=1)
@@ -171,8 +171,8 @@ def test_first_pass_carries_over_batches(spark):
 
 def test_cut_texts_stay_whole_characters(spark):
     texts = texts_with_passages()
-    rows = suffix.remove_repeats(documents(spark, texts, "extra")).collect()
-    assert {"doc_id", "text", "lang", "source", "n_chars", "extra"} == set(rows[0].asDict())
+    rows = suffix.remove_repeats(documents(spark, texts, "extra", "_starts", "_id", "_cut", "row")).collect()
+    assert {"doc_id", "text", "lang", "source", "n_chars", "extra", "_starts", "_id", "_cut", "row"} == set(rows[0].asDict())
     kept = {r.doc_id: r.text for r in rows}
     assert kept[2] is None and kept[3] == "" and kept[-5].startswith("日本") and kept[-5].endswith(dict(texts)[-5][120:])
     assert 97 in kept and len(kept[97]) < 200
@@ -269,7 +269,7 @@ def test_mix_meets_its_targets(spark):
     rows = [(k, prose(k, int(rng.paretovariate(1.1) * 20) % 900), None, rng.choice(["b", "a", None, "ü", "B", "tiny"] if k < 80 else ["b", "ü", None]), 0) for k in range(700)]
     rows += [(900, None, None, "a", 0), (901, "", None, "nothing", 0), (3, "repeated", None, "a", 0), (3, "repeated", None, "a", 0), (None, "x y z", None, "b", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash"))
-    config = mixing.MixConfig(fan_in=8, large_share=1 / 50)
+    config = mixing.MixConfig(fan_in=8, group=60)
     got = mixing.mix(docs, config).collect()
     assert len(got) == len(rows) and collected_rows_of(got) == collected_rows_of(mixing.mix(docs, config).collect())
     sizes, taken = defaultdict(int), defaultdict(int)
@@ -292,7 +292,7 @@ def collected_rows_of(rows):
 def test_mix_expectation_is_kept(spark):
     rows = [(k, "w " * (5 + k % 7), None, f"s{k % 3}", 0) for k in range(90)]
     docs = spark.createDataFrame(rows, DOCS)
-    runs = [mixing.mix(docs, mixing.MixConfig(seed=s, fan_in=4, large_share=0.03)).collect() for s in range(8)]
+    runs = [mixing.mix(docs, mixing.MixConfig(seed=s, fan_in=4, group=10)).collect() for s in range(8)]
     assert len({tuple(sorted((r.doc_id, r.copies) for r in run)) for run in runs}) > 4
     for source in ("s1", "s2"):
         part = [r for run in runs for r in run if r.source == source]
@@ -300,5 +300,15 @@ def test_mix_expectation_is_kept(spark):
         assert abs(mean - part[0].target / part[0].source_size) < 0.05
 
 
+def test_every_fraction_is_settled_by_an_exchange(spark):
+    """All documents of a group but one come out whole, large ones too; the one is no larger than what lies behind it."""
+    sizes = [60, 55, 50, 45, 40, 31, 17, 9, 8, 5, 3, 2, 1]
+    rows = [(k, "w " * n, None, "s", 0) for k, n in enumerate(sizes)] + [(99, "w " * 500, None, "t", 0)]
+    for seed in range(12):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS), mixing.MixConfig(percent=70, seed=seed)).collect()
+        mine = [r for r in got if r.source == "s"]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 31 and len(got) == len(rows)
+
+
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).collect() == []

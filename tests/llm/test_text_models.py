@@ -100,7 +100,7 @@ def test_language_words_and_backoff(spark):
     model = language.train(docs)
     assert model.langs == ["de", "en", "fr"] and "haus" in model.words
     asked = [(1, spoken(7, "fr")), (2, None), (3, "12 34 !!"), (4, "HÄUSER vögelsingen"), (5, "housestands birdsing"), (6, ""), (None, spoken(8, "de")), (1, spoken(7, "fr"))]
-    got = language.identify(documents(spark, asked, "lang_pred2"), model).collect()
+    got = language.identify(documents(spark, asked, "lang_pred"), model).collect()
     by = {r.doc_id: r for r in got}
     assert [by[k].lang_pred for k in (1, 2, 3, 4, 5, 6, None)] == ["fr", "und", "und", "de", "en", "und", "de"]
     assert len(got) == len(asked) and all(0 <= r.score <= 1 for r in got)
