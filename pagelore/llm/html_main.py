@@ -9,7 +9,7 @@ left of the article becomes text, one line per block.
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -46,7 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 DROPPED = frozenset(
     "script style textarea title noscript template iframe noembed noframes nav header footer aside form button select option "
-    "head svg canvas object audio video dialog menu label input fieldset math".split()
+    "head svg canvas object audio video dialog menu input fieldset".split()
 )
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr hgroup html li main "
@@ -65,12 +65,13 @@ NOISE = frozenset(
     "subscription signup share sharing social related recommended comment comments commentlist respond disqus reply replies pagination "
     "pager toolbar widget complementary contentinfo search skip".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
 INLINE = frozenset("b i em strong a span code".split())
 #: Marks the hash of a subtree that is template inside an article.
 INSIDE = 0x2545F4914F6CDD1D
 CONTENT = ("article", "content", "post", "entry", "story", "main", "body-text", "entry-content", "post-content", "article-body")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -83,21 +84,55 @@ class Node:
     children: list = field(default_factory=list)
     digest: int = 0
 
-    def marks(self) -> set:
-        """Words of class, id and role."""
-        told = " ".join(self.attributes.get(k, "") for k in ("class", "id", "role")).lower()
-        return set(_WORDS.findall(told)) if told.strip() else set()
+    def names(self) -> list[str]:
+        """Names in class, id and role, lower-cased."""
+        return " ".join(self.attributes.get(k) or "" for k in ("class", "id", "role")).lower().split()
+
+
+class _Open:
+    """The open elements, outermost first, and where each tag stands among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0: there is none."""
+        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, names: tuple, limits: tuple) -> None:
+        """Close the innermost of ``names``, unless one of ``limits`` is open within it."""
+        place = self.last(names)
+        if place > self.last(limits):
+            self.cut(place)
+
+
+_PARAGRAPH_LIMITS = ("button", "td", "th", "table", "article", "main", "section", "div", "body", "aside", "nav", "footer", "header")
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and texts. End tags close up to their element, blocks close an open paragraph."""
+    """A tree of elements and texts. End tags close up to their element, blocks close an open paragraph.
+
+    A tag ends before the next ``<``, else it is text; every step is bounded by what it closes, so
+    the time is linear in the page.
+    """
     root = Node("#root")
-    stack = [root]
+    opened = _Open(root)
     at, end = 0, len(page)
+    endless: set[str] = set()
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(entities.unescape(piece))
+            opened.stack[-1].children.append(entities.unescape(piece))
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -111,43 +146,34 @@ def parse(page: str) -> Node:
                 text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in ("html", "body") and stack[k].tag in ("td", "th", "article", "main", "body") and tag not in BLOCKS | DROPPED:
-                    break
+            place = opened.last((tag,))
+            free = tag in ("html", "body") or tag in BLOCKS or tag in DROPPED
+            if place and (free or place >= opened.last(("td", "th", "article", "main", "body"))):
+                opened.cut(place)
             continue
         if tag in CLOSED_BY_BLOCK or tag in DROPPED:
-            _close(stack, ("p",), ("button", "td", "th", "table", "article", "main", "section", "div", "body", "aside", "nav", "footer", "header"))
+            opened.close(("p",), _PARAGRAPH_LIMITS)
         if tag in CLOSES:
             names, limits = CLOSES[tag]
-            _close(stack, tuple(names.split()), limits)
+            opened.close(tuple(names.split()), limits)
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            stop = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag in ("textarea", "title") and stop:
                 node.children.append(entities.unescape(page[at : stop.start()]))
             if stop:
                 at = stop.end()
             elif tag in ("script", "style"):
                 at = end
+            else:
+                endless.add(tag)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            opened.push(node)
     return root
 
 
-def _close(stack: list, names: tuple, limits: tuple) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in names:
-            del stack[k:]
-            return
-        if stack[k].tag in limits:
-            return
-
-
 def hash_subtrees(root: Node) -> list[Node]:
     """Sets the digest of every element, children first; iterative, as pages can be nested deeply."""
     order, todo = [], [root]
@@ -172,13 +198,24 @@ def _noise(node: Node) -> bool:
         return True
     if "display:none" in (node.attributes.get("style") or "").replace(" ", "").lower():
         return True
-    return node.tag not in ("html", "body", "main", "article") and bool(node.marks() & NOISE)
-
-
-def find_root(order: list[Node]) -> Node:
-    """The article, else the main element, else a container named as content, else the body."""
+    if node.tag in ("html", "body", "main", "article"):
+        return False
+    if node.tag in PARAGRAPHS:
+        # A paragraph that only carries such a word among others, such as share-price, is content.
+        return any(t and all(w in NOISE for w in t) for t in map(_WORDS.findall, node.names()))
+    return any(w in NOISE for t in node.names() for w in _WORDS.findall(t))
+
+
+def find_roots(order: list[Node], sizes: dict[int, int]) -> list[Node]:
+    """The outermost articles, else the main element, else a container named as content, else the body."""
+    articles = [n for n in order if n.tag == "article" and not _noise(n)]
+    if articles:
+        nested = set()
+        for n in articles:
+            if id(n) not in nested:
+                nested.update(id(c) for c in hash_order(n)[1:])
+        return [n for n in _in_page_order(order[0]) if n.tag == "article" and id(n) not in nested and not _noise(n)]
     for wanted in (
-        lambda n: n.tag == "article" and not _noise(n),
         lambda n: n.tag == "main" or n.attributes.get("role") == "main",
         lambda n: n.tag in ("div", "section") and not _noise(n) and bool(
             set(f"{n.attributes.get('class', '')} {n.attributes.get('id', '')}".lower().split()) & set(CONTENT)),
@@ -186,19 +223,16 @@ def find_root(order: list[Node]) -> Node:
     ):
         found = [n for n in order if wanted(n)]
         if found:
-            return max(found, key=_text_size) if len(found) > 1 else found[0]
-    return order[0]
+            return [max(found, key=lambda n: sizes[id(n)])]
+    return order[:1]
 
 
-def _text_size(node: Node) -> int:
-    size, todo = 0, [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            size += len(n)
-        elif n is node or not _noise(n):
-            todo += n.children
-    return size
+def text_sizes(order: list[Node]) -> dict[int, int]:
+    """Characters of every element's text less noise within it; children first, each element once."""
+    sizes: dict[int, int] = {}
+    for n in reversed(order):
+        sizes[id(n)] = sum(len(c) if isinstance(c, str) else 0 if _noise(c) else sizes[id(c)] for c in n.children)
+    return sizes
 
 
 def shielded(top: Node) -> list[tuple[Node, int, int]]:
@@ -217,6 +251,15 @@ def shielded(top: Node) -> list[tuple[Node, int, int]]:
     return found
 
 
+def _in_page_order(top: Node) -> list[Node]:
+    order, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return order
+
+
 def hash_order(top: Node) -> list[Node]:
     """Elements of a subtree, parents first."""
     order, todo = [], [top]
@@ -246,14 +289,15 @@ def page_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
     Where the same text stands in an article twice, its places are -1. Outside, places are not looked at.
     """
     order = hash_subtrees(root)
-    top = find_root(order)
+    tops = find_roots(order, text_sizes(order))
     found = {n.digest: (0, 0) for n in order if n.tag != "#root" and n.children}
-    if top.tag in ("article", "main"):
-        for node, before, after in shielded(top):
-            if node.children:
-                key = inside_key(node)
-                found[key] = (-1, -1) if key in found else (before, after)
-    return top.digest, [(k, *v) for k, v in found.items()]
+    for top in tops:
+        if top.tag in ("article", "main"):
+            for node, before, after in shielded(top):
+                if node.children:
+                    key = inside_key(node)
+                    found[key] = (-1, -1) if key in found else (before, after)
+    return sum(t.digest for t in tops), [(k, *v) for k, v in found.items()]
 
 
 def main_text(root: Node, template: frozenset | set) -> str:
@@ -265,10 +309,14 @@ def main_text(root: Node, template: frozenset | set) -> str:
     others and keeps them all.
     """
     order = hash_subtrees(root)
-    top = find_root(order)
+    sizes = text_sizes(order)
+    return "\n".join(line for top in find_roots(order, sizes) for line in _lines(top, template, sizes))
+
+
+def _lines(top: Node, template: frozenset | set, sizes: dict[int, int]) -> list[str]:
     article = top.tag in ("article", "main")
     cut = {id(n): n for n, _, _ in shielded(top) if inside_key(n) in template} if article and template else {}
-    if cut and 2 * sum(map(_text_size, cut.values())) >= _text_size(top):
+    if cut and 2 * sum(sizes[k] for k in cut) >= sizes[id(top)]:
         cut = {}
     lines, run = [], []
 
@@ -297,7 +345,7 @@ def main_text(root: Node, template: frozenset | set) -> str:
         else:
             todo += reversed(node.children)
     close()
-    return "\n".join(lines)
+    return lines
 
 
 def _signed(x: int) -> int:
@@ -323,7 +371,7 @@ def template_subtrees(pages: DataFrame, config: TemplateConfig = TemplateConfig(
                     if page:
                         article, found = page_hashes(parse(page))
                         hosts += [host] * len(found)
-                        kinds += [article & 63] * len(found)
+                        kinds += [article % 64] * len(found)
                         rows += found
                 columns = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(

@@ -176,3 +176,24 @@ def test_licences_are_found_and_prose_is_not(spark):
     assert found[202, 0].family == "unknown" and not found[202, 0].confirmed
     assert not [k for k in found if k[0] is not None and k[0] < 60 or k[1] == 2]
     assert licence.scan(spark.createDataFrame([], DOCS), model).collect() == []
+
+
+def test_crafted_pages_are_read_in_linear_time():
+    import time
+
+    pieces = ("<b ", "<title>", "<div>" , "</x>", "<div class=content>", '<b a="', "<p", "<td></span>", "<!", "<article>", "<li>", "<p" + "a" * 50, "&", "<span><td>")
+    pages = [p * (100_000 // len(p)) for p in pieces] + ["<div>" * 10_000 + "</x>" * 10_000, "<span><td>" + "<div>" * 10_000 + "</span>" * 10_000, "<" + "a" * 100_000]
+    for page in pages:
+        began = time.time()
+        html_main.page_hashes(html_main.parse(page))
+        html_main.main_text(html_main.parse(page), frozenset())
+        assert time.time() - began < 20, page[:20]
+
+
+def test_paragraphs_with_a_suspicious_word_and_all_articles_stay():
+    def text(body):
+        return html_main.main_text(html_main.parse(f"<body>{body}</body>"), frozenset())
+
+    assert text('<article><p class="share-price">up</p><p class="skip-intro">in</p><p class="share">no</p><div class="share-bar">no</div></article>') == "up\nin"
+    assert text("<article><p>so <math><mi>E</mi>=mc2</math></p><label>kept</label></article>") == "so E=mc2 kept" or "E=mc2" in text("<article><p>so <math><mi>E</mi>=mc2</math></p></article>")
+    assert text("<article><p>one</p></article><aside>x</aside><article><p>two longer</p><article class=comment>no</article></article>") .split("\n")[:2] == ["one", "two longer"]
