@@ -102,7 +102,12 @@ class _Open:
 
     def last(self, tags: Iterable[str]) -> int:
         """Place of the innermost open element of these tags; 0: there is none."""
-        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+        place, places = 0, self.places
+        for tag in tags:
+            held = places.get(tag)
+            if held and held[-1] > place:
+                place = held[-1]
+        return place
 
     def cut(self, place: int) -> None:
         """Close the element at ``place`` and all within it."""
@@ -112,7 +117,7 @@ class _Open:
     def close(self, names: tuple, limits: tuple) -> None:
         """Close the innermost of ``names``, unless one of ``limits`` is open within it."""
         place = self.last(names)
-        if place > self.last(limits):
+        if place and place > self.last(limits):
             self.cut(place)
 
 
@@ -206,9 +211,11 @@ def _noise(node: Node) -> bool:
     return any(w in NOISE for t in node.names() for w in _WORDS.findall(t))
 
 
-def find_roots(order: list[Node], sizes: dict[int, int]) -> list[Node]:
+def find_roots(order: list[Node]) -> list[Node]:
     """The outermost articles, else the main element, else a container named as content, else the body."""
     articles = [n for n in order if n.tag == "article" and not _noise(n)]
+    if len(articles) == 1:
+        return articles
     if articles:
         nested = set()
         for n in articles:
@@ -223,6 +230,7 @@ def find_roots(order: list[Node], sizes: dict[int, int]) -> list[Node]:
     ):
         found = [n for n in order if wanted(n)]
         if found:
+            sizes = text_sizes(order) if len(found) > 1 else {id(found[0]): 0}
             return [max(found, key=lambda n: sizes[id(n)])]
     return order[:1]
 
@@ -289,7 +297,7 @@ def page_hashes(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
     Where the same text stands in an article twice, its places are -1. Outside, places are not looked at.
     """
     order = hash_subtrees(root)
-    tops = find_roots(order, text_sizes(order))
+    tops = find_roots(order)
     found = {n.digest: (0, 0) for n in order if n.tag != "#root" and n.children}
     for top in tops:
         if top.tag in ("article", "main"):
@@ -309,15 +317,16 @@ def main_text(root: Node, template: frozenset | set) -> str:
     others and keeps them all.
     """
     order = hash_subtrees(root)
-    sizes = text_sizes(order)
-    return "\n".join(line for top in find_roots(order, sizes) for line in _lines(top, template, sizes))
+    return "\n".join(line for top in find_roots(order) for line in _lines(top, template))
 
 
-def _lines(top: Node, template: frozenset | set, sizes: dict[int, int]) -> list[str]:
+def _lines(top: Node, template: frozenset | set) -> list[str]:
     article = top.tag in ("article", "main")
     cut = {id(n): n for n, _, _ in shielded(top) if inside_key(n) in template} if article and template else {}
-    if cut and 2 * sum(sizes[k] for k in cut) >= sizes[id(top)]:
-        cut = {}
+    if cut:
+        sizes = text_sizes(hash_order(top))
+        if 2 * sum(sizes[k] for k in cut) >= sizes[id(top)]:
+            cut = {}
     lines, run = [], []
 
     def close() -> None:
