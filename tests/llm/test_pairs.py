@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagelore.llm import components, decontaminate, minhash, mixing, suffix
+from pagelore.llm import components, decontaminate, minhash, mixing, suffix, suffix_radix
 from tests.llm.helpers import DOCS, awkward, collected, documents, prose
 
 
@@ -157,6 +157,21 @@ def test_repeated_bytes_match_brute_force(spark):
     assert collected(suffix.suffix_dedup_report(docs, tight), *names) == want
 
 
+def test_radix_passes_give_the_same_runs(spark):
+    texts = [t for t in texts_with_passages() if t[0] is not None]
+    docs = documents(spark, texts)
+    names = ("doc_id", "from_byte", "to_byte")
+    want = collected(suffix.repeated_bytes(docs)[0], *names)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for passes, rows in ((1, 10_000), (2, 7), (4, 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert collected(suffix_radix.repeated_bytes(docs, passes=passes), *names) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert suffix_radix.repeated_bytes(spark.createDataFrame([], DOCS)).collect() == []
+
+
 def test_first_pass_carries_over_batches(spark):
     texts = texts_with_passages()
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
