@@ -18,8 +18,8 @@ from datetime import datetime, timezone
 from pagelore.config import AnswerConfig, CrawlConfig, EmbedConfig, IntentConfig, SearchConfig
 from pagelore.operators.answering import ChatGenerator, results_report
 from pagelore.operators.embedding import HashedWords, ModelEncoder, embed_chunks, verify_embeddings
-from pagelore.operators.frontier import crawl, crawl_counts, crawl_metadata, latest_documents
-from pagelore.operators.points import build_points, health, index_points, read_points
+from pagelore.operators.frontier import crawl, crawl_counts, crawl_lists, crawl_metadata, latest_documents
+from pagelore.operators.points import build_points, health, index_points, read_points, readiness
 from pagelore.plans.chat import answer_questions, embed_questions
 from pagelore.plans.corpus import chunk_corpus, validate_corpus
 from pagelore.plans.search import search
@@ -37,12 +37,13 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--master", help="Spark master; the cluster's own setting if absent")
     parser.add_argument("--host", default="", help="canonical host of the site")
     parser.add_argument("--bare-host", default="", help="host that means the same site")
-    parser.add_argument("--max-pages", type=int, default=1000)
+    parser.add_argument("--max-pages", type=int, default=1000, help="0: no limit")
     parser.add_argument("--documents", help="folder of documents, one JSON file each")
     parser.add_argument("--dimension", type=int, default=EmbedConfig.dimension)
     parser.add_argument("--keep", action="store_true", help="merge into the point table")
     parser.add_argument("--encoder", help="module:factory of a sentence encoder, see ModelEncoder; a stand-in if absent")
     parser.add_argument("--generator", help="module:factory of a chat model, see ChatGenerator; a stand-in if absent")
+    parser.add_argument("--replies", help="folder of earlier replies of the generator; a prompt found there is not sent")
     parser.add_argument("--questions", help="JSON lines with query_id and question")
     parser.add_argument("--top-k", type=int, default=SearchConfig.top_k)
     parser.add_argument("--candidate-k", type=int, default=SearchConfig.candidate_k)
@@ -66,7 +67,7 @@ def main() -> None:
     args = _arguments()
     spark = build_session("pagelore", args.master)
     out = args.out.rstrip("/")
-    site = CrawlConfig(args.host, args.bare_host, max_pages=args.max_pages)
+    site = CrawlConfig(args.host, args.bare_host, max_pages=args.max_pages or None)
     made = EmbedConfig(dimension=args.dimension)
     encoder = ModelEncoder(_loader(args.encoder), made) if args.encoder else HashedWords(made)
     generator = ChatGenerator(_loader(args.generator)) if args.generator else None
@@ -82,8 +83,10 @@ def main() -> None:
         tables.write_raw_pages(found.pages, f"{out}/html")
         tables.write_documents(latest_documents(found.documents), f"{out}/documents")
         found.log.write.mode("overwrite").parquet(f"{out}/crawl_log")
-        meta = crawl_metadata(found.log, site, started, datetime.now(timezone.utc))
-        meta.coalesce(1).write.mode("overwrite").json(f"{out}/crawl_metadata")
+        tables.write_report(crawl_lists(found.log), f"{out}/crawl_lists")
+        if site.max_pages is not None:
+            meta = crawl_metadata(found.log, site, started, datetime.now(timezone.utc))
+            meta.coalesce(1).write.mode("overwrite").json(f"{out}/crawl_metadata")
         crawl_counts(found.log, site).show(truncate=False)
     elif args.stage == "validate":
         checked = validate_corpus(documents(), site)
@@ -106,7 +109,7 @@ def main() -> None:
             points, f"{out}/points", args.dimension, not args.keep, replace_documents=args.keep
         ).show(truncate=False)
     elif args.stage == "health":
-        health(spark, f"{out}/points").show(truncate=False)
+        readiness(health(spark, f"{out}/points")).show(truncate=False)
     else:
         asked = spark.read.schema("query_id string, question string").json(args.questions)
         points = read_points(spark, f"{out}/points")
@@ -119,7 +122,7 @@ def main() -> None:
             results_report(asked, stored).write.mode("overwrite").json(f"{out}/results_report")
         else:
             answers = answer_questions(
-                points, asked, encoder, generator, search_cfg=cfg, cfg=AnswerConfig(args.knowledge_base)
+                points, asked, encoder, generator, search_cfg=cfg, cfg=AnswerConfig(args.knowledge_base), replies=args.replies
             )
             answers.write.mode("overwrite").json(f"{out}/answers")
     spark.stop()

@@ -28,7 +28,9 @@ from pagelore.operators.chunking import (
 from pagelore.operators.embedding import embed_chunks, embedding_report
 from pagelore.operators.first_wins import repeated_groups
 from pagelore.operators.holders import replace_documents
-from pagelore.operators.points import build_points, index_points, latest_points, read_points, upsert_points
+from pagelore.operators.points import (
+    build_points, health, index_points, latest_points, read_points, readiness, upsert_points,
+)
 from pagelore.operators.validation import (
     build_manifest,
     entry_outcomes,
@@ -368,6 +370,39 @@ def _(spark, folder):
     return _long(tables.read_chunks(spark, path), *_SHOWN)
 
 
+@query(
+    "embedding_files",
+    S.with_tables(
+        "chunks",
+        f"""SELECT document_id || '__' || substr(chunk_hash, 1, 16) AS chunk_id, url, {DIMENSION}::BIGINT AS dimension,
+      word_count::BIGINT AS word_count, text FROM chunks""",
+    ),
+)
+def _(spark, folder):
+    """Chunks with their vectors written as JSON lines and read back."""
+    path = new_folder(spark, "embedding-files")
+    tables.write_embeddings(embed_chunks(document_chunks(spark, folder).drop("position"), ENCODER), path, json=True)
+    read = tables.read_embeddings(spark, path, json=True)
+    return read.select(
+        "chunk_id", "url", F.size("embedding").cast("long").alias("dimension"), F.col("word_count").cast("long").alias("word_count"), "text"
+    )
+
+
+@query(
+    "point_readiness",
+    S.with_tables(
+        "points",
+        """SELECT 200::INTEGER AS status_code, 'healthy' AS status, NULL::VARCHAR AS detail, count(*)::BIGINT AS points FROM points
+    UNION ALL SELECT 503, 'not_ready', 'no point table', NULL""",
+    ),
+)
+def _(spark, folder):
+    """What a request would meet: a freshly built point table, and none."""
+    path = new_folder(spark, "point-files")
+    index_points(points(spark, folder), path, DIMENSION)
+    return readiness(health(spark, path)).unionByName(readiness(health(spark, f"{path}-none")))
+
+
 @query(
     "point_files",
     S.with_tables("points", "SELECT id, chunk_id, url, CASE WHEN source_row THEN 'again' ELSE title END AS title FROM (SELECT *, section_level = 1 AS source_row FROM points)"),

@@ -14,6 +14,20 @@ HOT_ROWS = 1_000_000
 MARKED_KEYS = 100_000
 
 
+def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, marked_keys: int = MARKED_KEYS) -> DataFrame:
+    """Stored rows (_hot_key, _salts): values that the columns ``keys`` together hold ``hot_rows`` times or more.
+
+    One partially aggregated count serves all columns.
+    """
+    listed = left.select(F.explode(F.array(*keys)).alias("_key")) if len(keys) > 1 else left.select(F.col(keys[0]).alias("_key"))
+    counts = listed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+    return materialize(
+        counts.orderBy(F.desc("n"), "_key").limit(marked_keys)
+        .select(F.col("_key").alias("_hot_key"), F.ceil(F.col("n") * 4 / hot_rows).cast("int").alias("_salts")),
+        "hot-keys",
+    )
+
+
 def join_unique(
     left: DataFrame,
     unique: DataFrame,
@@ -22,20 +36,18 @@ def join_unique(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     marked_keys: int = MARKED_KEYS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to a table that holds every ``key`` once.
 
     Hot keys are found by a partially aggregated count. Each is spread by a hash of
     ``spread_by`` over as many join keys as its own count asks for, four for every
     ``hot_rows`` rows; only its single row on the other side is repeated. The marks are
-    a table of one narrow row per hot key, bounded by ``marked_keys``.
+    a table of one narrow row per hot key, bounded by ``marked_keys``; ``hot`` gives it
+    where one count serves several joins.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
-    hot = materialize(
-        counts.orderBy(F.desc("n"), key).limit(marked_keys)
-        .select(F.col(key).alias("_hot_key"), F.ceil(F.col("n") * 4 / hot_rows).cast("int").alias("_salts")),
-        "hot-keys",
-    )
+    if hot is None:
+        hot = hot_keys(left, [key], hot_rows, marked_keys)
     if hot.isEmpty():
         return left.join(unique, key, how)
     marks = F.broadcast(hot)

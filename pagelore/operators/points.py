@@ -258,3 +258,15 @@ def health(spark, path: str) -> DataFrame:
     except Exception as exc:  # any failure to read means unhealthy
         return spark.createDataFrame([("unhealthy", f"{type(exc).__name__}", None)], schema)
     return spark.createDataFrame([("healthy", None, count)], schema)
+
+
+def readiness(state: DataFrame) -> DataFrame:
+    """``health`` rows with the ``status_code`` a request would get: 200 where the table is healthy, else 503 and why."""
+    healthy = F.col("status") == "healthy"
+    reason = F.coalesce(F.col("error"), F.lit("the point table cannot be read"))
+    return state.select(
+        F.when(healthy, F.lit(200)).otherwise(F.lit(503)).alias("status_code"),
+        "status",
+        F.when(~healthy, reason).alias("detail"),
+        "points",
+    )

@@ -11,7 +11,7 @@ from pagelore.functions.ids import HASH_VERSION, content_fingerprint, document_i
 from pagelore.functions.text import clean_text, count_word_tokens
 from pagelore.functions.urls import identity_url, port_of, url_parts
 from pagelore.operators.first_wins import repeated_groups
-from pagelore.operators.joins import HOT_ROWS, join_unique
+from pagelore.operators.joins import HOT_ROWS, hot_keys, join_unique
 from pagelore.schemas import HEADING, LINK, SCHEMA_VERSION, SECTION
 
 MANIFEST_VERSION = "1.0"
@@ -209,8 +209,9 @@ def resolve_entries(manifest: DataFrame, documents: DataFrame, hot_rows: int = H
     lookup = document_lookup(documents)
     by_canonical = lookup.select(F.col("key").alias("canonical_key"), F.col("found_file").alias("_by_canonical"))
     by_url = lookup.select(F.col("key").alias("url_key"), F.col("found_file").alias("_by_url"))
-    found = join_unique(pairs, by_canonical, "canonical_key", "url_key", "left", hot_rows)
-    found = join_unique(found, by_url, "url_key", "canonical_key", "left", hot_rows)
+    hot = hot_keys(pairs, ["canonical_key", "url_key"], hot_rows)
+    found = join_unique(pairs, by_canonical, "canonical_key", "url_key", "left", hot_rows, hot=hot)
+    found = join_unique(found, by_url, "url_key", "canonical_key", "left", hot_rows, hot=hot)
     return found.select(
         "position",
         F.col("_first.document_id").alias("document_id"),

@@ -22,8 +22,12 @@ def answer_questions(
     generator=None,
     search_cfg: SearchConfig = SearchConfig(),
     cfg: AnswerConfig = AnswerConfig(),
+    replies: str | None = None,
 ) -> DataFrame:
-    """One answer row per question; rejected questions are never searched for."""
+    """One answer row per question; rejected questions are never searched for.
+
+    ``replies`` names a folder where the generator's replies are kept, so that none is paid for twice.
+    """
     valid = questions.filter(valid_question(F.col("question"), cfg))
     results = search(points, embed_questions(valid, encoder), search_cfg)
-    return answer_from_results(questions, results, generator or ExtractiveGenerator(), cfg)
+    return answer_from_results(questions, results, generator or ExtractiveGenerator(), cfg, replies)

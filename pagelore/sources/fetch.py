@@ -16,7 +16,7 @@ from pagelore.functions.urls import crawl_url
 from pagelore.operators.first_wins import first_per_key
 
 ANSWER = (
-    "url string, final_url string, html string, status_code int, encoding string,"
+    "url string, final_url string, html string, body binary, status_code int, encoding string,"
     " content_type string, error string"
 )
 
@@ -52,6 +52,7 @@ def http_get(url: str, headers: dict[str, str], timeout: float) -> dict:
         return {
             "final_url": response.geturl(),
             "html": body.decode(encoding, errors="replace"),
+            "body": body,
             "status_code": response.status,
             "encoding": encoding,
             "content_type": response.headers.get("Content-Type", ""),
@@ -94,8 +95,9 @@ def fetch_over_http(
 
 
 def fetch_from_table(frontier: DataFrame, pages: DataFrame, cfg: CrawlConfig) -> DataFrame:
-    """Answers from stored pages (``url``, ``html``); an absent page is a failure."""
-    keyed = pages.select(crawl_url(F.col("url"), cfg).alias("url"), F.col("url").alias("raw_url"), "html")
+    """Answers from stored pages (``url``, ``html``, and ``body`` if their bytes were kept); an absent page is a failure."""
+    body = F.col("body") if "body" in pages.columns else F.col("html").cast("binary")
+    keyed = pages.select(crawl_url(F.col("url"), cfg).alias("url"), F.col("url").alias("raw_url"), "html", body.alias("body"))
     stored = first_per_key(keyed.filter(F.col("url") != ""), ["url"], [F.col("raw_url")])
     found = frontier.select("url").join(stored, "url", "left")
     hit = F.col("raw_url").isNotNull()
@@ -103,6 +105,7 @@ def fetch_from_table(frontier: DataFrame, pages: DataFrame, cfg: CrawlConfig) ->
         "url",
         F.when(hit, F.col("url")).alias("final_url"),
         "html",
+        "body",
         F.when(hit, F.lit(200)).otherwise(F.lit(404)).alias("status_code"),
         F.lit("").alias("encoding"),
         F.when(hit, F.lit("text/html")).alias("content_type"),

@@ -100,7 +100,14 @@ class _Reader(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self._flush()
 
-    handle_decl = handle_pi = unknown_decl = handle_comment
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data: str) -> None:
+        """The text of a CDATA section stands by itself; other declarations only end the text before."""
+        self._flush()
+        if data.upper().startswith("CDATA["):
+            self.pending.append(data[len("CDATA[") :])
+            self._flush()
 
     def finish(self) -> None:
         self.close()

@@ -51,13 +51,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_raw_pages(pages: DataFrame, path: str) -> None:
-    """Raw HTML keyed by file name, the last crawled copy of each."""
+    """The received bytes of pages keyed by file name, the last crawled copy of each.
+
+    Pages without a ``body`` are stored as the UTF-8 bytes of their ``html``.
+    """
     named = pages.withColumn("file", F.concat(file_id(F.col("url")), F.lit(".html")))
     order = [F.col(c).desc() for c in ("round", "seq") if c in pages.columns]
     last = first_per_key(named, ["file"], order or [F.col("url")])
-    last.select("file", "url", F.col("html").cast("binary").alias("html")).write.mode(
-        "overwrite"
-    ).parquet(path)
+    body = F.col("html").cast("binary")
+    if "body" in pages.columns:
+        body = F.coalesce("body", body)
+    last.select("file", "url", body.alias("body")).write.mode("overwrite").parquet(path)
+
+
+def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """file, url and body (bytes) of stored pages."""
+    return spark.read.schema("file string, url string, body binary").parquet(path)
 
 
 def write_manifest(manifest: DataFrame, header: DataFrame, path: str) -> None:
@@ -106,8 +115,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return require_fields(read, ("chunk_id", "document_id", "chunk_hash", "text"))
 
 
-def write_embeddings(embedded: DataFrame, path: str) -> None:
-    embedded.write.mode("overwrite").parquet(path)
+def write_embeddings(embedded: DataFrame, path: str, json: bool = False) -> None:
+    if json:
+        embedded.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    else:
+        embedded.write.mode("overwrite").parquet(path)
 
 
 def read_embeddings(spark: SparkSession, path: str, json: bool = False) -> DataFrame:

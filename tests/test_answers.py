@@ -179,3 +179,71 @@ def test_a_model_is_asked_once_per_prompt(spark, tmp_path):
     found = spark.createDataFrame([(str(i), 1, "some text") for i in range(3)], "query_id string, pick int, text string")
     answers = answer_from_results(asked, found, ChatGenerator(load)).filter("status_code = 200").collect()
     assert len(answers) == 3 and len(open(log).readlines()) == 3
+
+
+def test_replies_are_paid_for_once(spark, tmp_path):
+    log, replies = str(tmp_path / "calls"), str(tmp_path / "replies")
+
+    def load():
+        from threading import Lock
+
+        lock, seen = Lock(), set()
+
+        def ask(system, user, **options):
+            with lock:
+                with open(log, "a") as out:
+                    out.write(user[-1] + "\n")
+                first = user not in seen
+                seen.add(user)
+            if user.endswith("9") or (first and user.endswith("1")):
+                raise TimeoutError("busy")
+            return f"reply {user[-1]}"
+
+        return ask
+
+    def calls():
+        return sorted(open(log).read().split())
+
+    # Questions 0 and 5 share a prompt; 1 fails once, 9 always.
+    ends = {0: 0, 1: 1, 2: 2, 5: 0, 9: 9}
+    asked = spark.createDataFrame([(str(i), f"question {e}") for i, e in ends.items()], "query_id string, question string")
+    found = spark.createDataFrame([(str(i), 1, "some text") for i in (*ends, 3)], "query_id string, pick int, text string")
+    chat = ChatGenerator(load, parallel=3, attempts=2, pause=0.01)
+
+    def answers(questions):
+        return {r.query_id: r for r in answer_from_results(questions, found, chat, replies=replies).collect()}
+
+    got = answers(asked)
+    assert {i: r.answer for i, r in got.items()} == {"0": "reply 0", "1": "reply 1", "2": "reply 2", "5": "reply 0", "9": None}
+    assert got["9"].status_code == 500 and "TimeoutError: busy" in got["9"].detail
+    assert calls() == ["0", "1", "1", "2", "9", "9"]
+    # A second run sends what failed and what is new; a question without context sends nothing.
+    more = asked.unionByName(spark.createDataFrame([("3", "question 3"), ("4", "question 4")], asked.schema))
+    got = answers(more)
+    assert got["3"].answer == "reply 3" and got["4"].status_code == 200 and got["0"].answer == "reply 0"
+    assert calls() == ["0", "1", "1", "2", "3", "9", "9", "9", "9"]
+    with pytest.raises(ValueError):
+        ChatGenerator(load, attempts=0)
+
+
+def test_calls_overlap_up_to_the_bound(spark):
+    def load():
+        import time
+        from threading import Lock
+
+        lock, now = Lock(), [0, 0]
+
+        def ask(system, user, **options):
+            with lock:
+                now[0] += 1
+                now[1] = max(now)
+            time.sleep(0.05)
+            with lock:
+                now[0] -= 1
+            return str(now[1])
+
+        return ask
+
+    prompts = spark.range(12).coalesce(1).select(F.concat(F.lit("p"), "id").alias("p"))
+    most = [int(r[0]) for r in prompts.select(ChatGenerator(load, parallel=4).generate("s", F.col("p"))["answer"]).collect()]
+    assert max(most) == 4

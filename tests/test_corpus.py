@@ -9,7 +9,7 @@ from pagelore.config import CrawlConfig, EmbedConfig
 from pagelore.operators import points as P
 from pagelore.operators.embedding import HashedWords
 from pagelore.operators.first_wins import first_per_key, repeated_groups
-from pagelore.operators.joins import join_unique
+from pagelore.operators.joins import hot_keys, join_unique
 from pagelore.operators.validation import (
     build_manifest,
     entry_outcomes,
@@ -277,3 +277,25 @@ def test_missing_and_unreadable_paths_differ(spark, tmp_path):
         assert scratch.keep(spark.range(3)).count() == 3
         assert path_exists(spark, scratch.root)
     assert not path_exists(spark, scratch.root)
+
+
+def test_one_count_finds_the_hot_keys_of_two_columns(spark):
+    pairs = spark.createDataFrame([("h", f"u{i}") for i in range(30)] + [(f"c{i}", "h") for i in range(30)] + [("x", "y")], "a string, b string")
+    hot = hot_keys(pairs, ["a", "b"], hot_rows=10)
+    assert [tuple(r) for r in hot.collect()] == [("h", 24)]
+    names = spark.createDataFrame([("h", 1), ("x", 2), ("u3", 3)], "key string, n int")
+    got = join_unique(pairs, names.withColumnsRenamed({"key": "a", "n": "left_n"}), "a", "b", "left", 10, hot=hot)
+    got = join_unique(got, names.withColumnsRenamed({"key": "b", "n": "right_n"}), "b", "a", "left", 10, hot=hot)
+    found = {(r.a, r.b): (r.left_n, r.right_n) for r in got.collect()}
+    assert len(found) == 61 and found["h", "u3"] == (1, 3) and found["c7", "h"] == (None, 1) and found["x", "y"] == (2, None)
+
+
+def test_readiness_and_embedding_lines(spark, tmp_path):
+    path = str(tmp_path / "points")
+    assert tuple(P.readiness(P.health(spark, path)).first()) == (503, "not_ready", "no point table", None)
+    P.index_points(_points(spark, [("d", "c", "h", "text", "title", [1.0, 0.0])]), path, 2)
+    assert tuple(P.readiness(P.health(spark, path)).first()) == (200, "healthy", None, 1)
+    row = spark.createDataFrame([("c1", [0.5, -0.25], None)], "chunk_id string, embedding array<float>, title string")
+    tables.write_embeddings(row, str(tmp_path / "lines"), json=True)
+    back = tables.read_embeddings(spark, str(tmp_path / "lines"), json=True).first()
+    assert (back.chunk_id, back.embedding, back.title) == ("c1", [0.5, -0.25], None)

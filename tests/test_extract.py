@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from pagelore.config import CrawlConfig
 from pagelore.operators.extract import extract_pages, is_html_response
-from pagelore.operators.frontier import crawl, crawl_metadata, latest_documents, walk_links
+from pagelore.operators.frontier import crawl, crawl_lists, crawl_metadata, latest_documents, walk_links
+from pagelore.sources import tables
 from pagelore.sources.fetch import fetch_from_table, fetch_over_http
+from pagelore.sources.html_nodes import html_nodes
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +194,36 @@ def test_many_links_take_their_first_anchor(spark):
     found = extract_pages(page).first().links
     assert [(k.url.rsplit("/", 1)[1], k.text) for k in found] == [(f"p{i}", f"t{i}") for i in range(4000)]
     assert time.time() - start < 60
+
+
+def test_received_bytes_are_kept(spark, tmp_path):
+    body = "<body><p>caf\u00e9 ".encode("latin-1") + b"word " * 25 + b"</p>\xff\x00</body>"
+
+    def get(url, headers, timeout):
+        return {"final_url": url, "html": body.decode("latin-1"), "body": body, "status_code": 200, "encoding": "iso8859-1", "content_type": "text/html"}
+
+    cfg = CrawlConfig(canonical_host=HOST, delay_seconds=0, max_pages=None)
+    seeds = spark.createDataFrame([(f"https://{HOST}/{p}",) for p in ("a", "b")], "url string")
+    result = crawl(spark, lambda front: fetch_over_http(front, cfg, get), cfg, seeds)
+    tables.write_raw_pages(result.pages, str(tmp_path / "html"))
+    kept = tables.read_raw_pages(spark, str(tmp_path / "html")).collect()
+    assert len(kept) == 2 and {bytes(r.body) for r in kept} == {body}
+    # Without bytes, the text as UTF-8.
+    tables.write_raw_pages(result.pages.drop("body"), str(tmp_path / "text"))
+    assert {bytes(r.body) for r in tables.read_raw_pages(spark, str(tmp_path / "text")).collect()} == {body.decode("latin-1").encode()}
+
+
+def test_lists_of_an_unlimited_crawl(spark):
+    log = spark.createDataFrame(
+        [("u/b", "u/b", 0, 1, True, None), ("u/a", "u/b", 0, 0, True, None), ("u/z", None, 1, 0, False, "E: x"), ("u/c", None, 0, 2, False, "E: y")],
+        "url string, final_url string, round int, seq long, saved boolean, error string",
+    )
+    lists = {name: [tuple(r) for r in rows.collect()] for name, rows in crawl_lists(log).items()}
+    assert lists == {"visited_urls": [("u/a",), ("u/b",), ("u/c",), ("u/z",)], "saved_urls": [("u/b",)],
+                     "failed_urls": [("u/c", "E: y"), ("u/z", "E: x")]}
+
+
+def test_cdata_is_text(spark):
+    page = "<main><svg><text>a<![CDATA[ x < y ]]>b</text></svg></main>"
+    nodes = spark.createDataFrame([(page,)], "html string").select(html_nodes(F.col("html")).alias("n")).first().n
+    assert [t.text for t in nodes.texts] == ["a", "x < y", "b"]
