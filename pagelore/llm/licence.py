@@ -1,10 +1,10 @@
 """Licence scans: a trained paragraph classifier.
 
-Paragraphs (lines) are word n-grams of length one and two. A softmax regression with a sparse
-weight table gives the probability of each licence family, of licence wording of no known
-family, and of no licence. A prediction whose probability is below a calibrated limit counts
-as unknown; a family is confirmed if enough of the paragraph's word pairs stand in the
-family's templates. The corpus is scored by column expressions and one join with the weight
+Paragraphs (lines, wrapped ones joined) are word n-grams of length one and two. A softmax
+regression with a sparse weight table gives the probability of each licence family, of licence
+wording of no known family, and of no licence. A prediction below a calibrated probability, or
+with less than a calibrated share of word pairs that are the family's own, counts as unknown; both limits come from families that a model was fitted without. A family is
+confirmed if that share is large enough. The corpus is scored by column expressions and one join with the weight
 table, whose size is that of the templates.
 """
 
@@ -31,12 +31,25 @@ class LicenceConfig:
     rounds: int = 300
     rate: float = 4.0
     l1: float = 2e-4
-    #: Share of families' variants that the calibrated limit lets through.
-    calibration_recall: float = 0.99
-    #: Least share of a paragraph's word pairs in the templates of its family.
+    #: Steps of the fits that leave a family out.
+    calibration_rounds: int = 100
+    #: Least template share of a confirmed paragraph.
     confirm_share: float = 0.5
 
 
+#: A line break inside a sentence, with the comment marks of the next line: the line before has over 50
+#: characters and ends in no mark, and the next begins with a small letter; or the line before ends in a comma.
+WRAP = (
+    r"\n(?:(?<=[^\n]{50}[^.!?:;\s][ \t\r]{0,8}\n)[ \t#*/;%>]{0,40}(?=\p{Ll})"
+    r"|(?<=[^\n]{50},[ \t\r]{0,8}\n)[ \t#*/;%>]{0,40}(?=\S))"
+)
+
+
+def paragraphs(text: Column) -> Column:
+    """The lines of a text; a line that goes on with the sentence of the one before belongs to it."""
+    return F.split(F.regexp_replace(text, WRAP, " "), "\n")
+
+
 def _grams(tokens: list[str]) -> list[tuple]:
     return [(w,) for w in tokens] + list(zip(tokens, tokens[1:]))
 
@@ -49,6 +62,8 @@ class LicenceModel:
     table: dict[tuple, tuple[np.ndarray, np.ndarray]]
     temperature: float
     limit: float
+    #: Template share below which the family is not named.
+    least_share: float
 
 
 def _variants(tokens: list[str], noise: list[str], rng: np.random.Generator, n: int) -> list[list[str]]:
@@ -70,7 +85,7 @@ def train(docs: DataFrame, config: LicenceConfig = LicenceConfig()) -> LicenceMo
     # Ids choose the sample before texts are split.
     picked = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_corpus_paragraphs // 3)
     sample = (
-        docs.join(F.broadcast(picked), "doc_id").select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
+        docs.join(F.broadcast(picked), "doc_id").select(F.explode(paragraphs(F.col("text"))).alias("line"))
         .select(words(F.col("line")).alias("w")).where((F.size("w") > 1) & (F.size("w") <= 400))
         .orderBy(F.xxhash64("w"), "w").limit(config.max_corpus_paragraphs).collect()
     )
@@ -97,17 +112,46 @@ def train(docs: DataFrame, config: LicenceConfig = LicenceConfig()) -> LicenceMo
                 x[i, vocabulary[g]] += 1 / np.sqrt(len(grams))
     y = np.array([k for k, _ in rows])
     held = rng.random(len(rows)) < 0.2
-    weights, bias = _fit(x[~held], y[~held], len(classes), config)
+    weights, bias = _fit(x[~held], y[~held], len(classes), config.rounds, config)
     logits = x[held] @ weights + bias
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(1e-12, _softmax(logits / t)[np.arange(held.sum()), y[held]])).mean())
-    known = y[held] < len(families)
-    sure = np.sort(_softmax(logits[known] / temperature)[np.arange(known.sum()), y[held][known]])
-    limit = float(np.clip(sure[int((1 - config.calibration_recall) * len(sure))] if len(sure) else 0.5, 0.3, 0.9))
+    none = len(classes) - 1
+    shares = np.zeros((len(rows), len(families)))
+    for i, (k, tokens) in enumerate(rows):
+        if k != none:
+            told = [pairs[g] for g in zip(tokens, tokens[1:]) if g in pairs]
+            own = sum((t / t.sum() for t in told), np.zeros(len(families)))
+            shares[i] = own / np.maximum(1e-9, len(tokens) - 1 - sum(told, np.zeros(len(families))) + own)
+    known = held & (y < len(families))
+    sure = _softmax((x[known] @ weights + bias) / temperature)[np.arange(known.sum()), y[known]], shares[known, y[known]]
+    # What the likeliest other family gets for wording of a family that the fit has not seen.
+    strange: list[tuple[np.ndarray, np.ndarray]] = []
+    for f in range(len(families)):
+        out = y == f
+        w, b = _fit(x[~held & ~out], y[~held & ~out], len(classes), config.calibration_rounds, config)
+        power = _softmax((x[out] @ w + b) / temperature)
+        power[:, f] = 0
+        best = power[:, : len(families)].argmax(axis=1)
+        strange.append((power[np.arange(len(best)), best], shares[out, best]))
+    false = tuple(np.concatenate(v) for v in zip(*strange))
+    limit, least_share = _limits(sure, false)
     table = {}
     for g, i in vocabulary.items():
         if np.any(weights[i]) or g in pairs:
             table[g] = weights[i], pairs.get(g, np.zeros(len(families)))
-    return LicenceModel(classes, bias, table, temperature, limit)
+    return LicenceModel(classes, bias, table, temperature, limit, least_share)
+
+
+def _limits(sure: tuple[np.ndarray, np.ndarray], false: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """The probability and the template share that tell wording of seen families best from that of unseen ones.
+
+    Best is the greatest difference of the two parts that reach both limits; ties go to the smaller limits.
+    """
+    def part(values: tuple[np.ndarray, np.ndarray], at: tuple[float, float]) -> float:
+        return float(((values[0] >= at[0]) & (values[1] >= at[1])).mean()) if len(values[0]) else 0.0
+
+    grid = [(p / 20, t / 40) for p in range(6, 20) for t in range(4, 25)]
+    return max(grid, key=lambda at: (round(part(sure, at) - part(false, at), 6), -at[0] - at[1]))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -115,12 +159,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, k: int, config: LicenceConfig) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int, config: LicenceConfig) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by proximal gradient steps; small weights become 0. Classes weigh the same."""
     target = np.eye(k, dtype=np.float32)[y]
     share = (1 / np.maximum(1, target.sum(axis=0)))[y][:, None] / k
     w, b = np.zeros((x.shape[1], k), dtype=np.float32), np.zeros(k, dtype=np.float32)
-    for _ in range(config.rounds):
+    for _ in range(rounds):
         g = (_softmax(x @ w + b) - target) * share
         w -= config.rate * 10 * (x.T @ g)
         w = np.sign(w) * np.maximum(0, np.abs(w) - config.rate * 10 * config.l1 / 10)
@@ -131,9 +175,10 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, config: LicenceConfig) -> tuple[n
 def _weight_table(spark: SparkSession, model: LicenceModel) -> DataFrame:
     n_classes, n_families = len(model.classes), len(model.classes) - 2
     rows = [
-        (g[0], g[1] if len(g) > 1 else None, *map(float, w), *map(float, t)) for g, (w, t) in sorted(model.table.items())
+        (g[0], g[1] if len(g) > 1 else None, *map(float, w), *map(float, t), *map(float, t / max(1, t.sum())))
+        for g, (w, t) in sorted(model.table.items(), key=lambda e: (e[0][0], e[0][1:]))
     ]
-    names = [*(f"w{i}" for i in range(n_classes)), *(f"t{i}" for i in range(n_families))]
+    names = [*(f"w{i}" for i in range(n_classes)), *(f"t{i}" for i in range(n_families)), *(f"u{i}" for i in range(n_families))]
     schema = "a string, b string, " + ", ".join(f"{n} double" for n in names)
     return materialize(
         spark.createDataFrame(rows, schema).select(
@@ -147,10 +192,13 @@ def scan(docs: DataFrame, model: LicenceModel, config: LicenceConfig = LicenceCo
     """Paragraphs that read like a licence: doc_id, paragraph, n_words, family, probability, template_share, confirmed.
 
     One row per paragraph whose likeliest class is not "none" and, for a family, that has a
-    word pair of the family's templates. ``family`` is ``unknown`` if no
-    family's probability reaches the calibrated limit; ``template_share`` is the share of the
-    paragraph's word pairs in the templates of the family, ``confirmed`` whether that is
-    enough (never for unknown). Null and empty texts have no paragraphs; rows with a null
+    word pair of the family's templates. ``family`` is ``unknown`` if the likeliest family's
+    probability or ``template_share`` is below its calibrated limit; ``confirmed`` tells whether
+    the share is enough (never for unknown). ``template_share`` sets the paragraph's word pairs
+    that the family's templates have, each divided by the number of families that have it,
+    against these and the pairs that they lack: common licence wording counts little either way. Ties go to the first family by name. ``paragraph`` numbers
+    the paragraphs of a text from 0, blank ones included. A text of any length is scanned whole;
+    an empty table gives no rows. Null and empty texts have no paragraphs; rows with a null
     doc_id are scanned like others; repeated rows of a doc_id count once, by their text.
     Other columns are not read.
     """
@@ -158,7 +206,7 @@ def scan(docs: DataFrame, model: LicenceModel, config: LicenceConfig = LicenceCo
     families = model.classes[: k - 2]
     weights = _weight_table(spark, model)
     lines = docs.select("doc_id", "text").where(F.col("text").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line")
+        "doc_id", F.xxhash64("text").alias("copy"), F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line")
     )
     w = F.col("w")
     tokens = lines.select("doc_id", "copy", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 0)
@@ -170,7 +218,7 @@ def scan(docs: DataFrame, model: LicenceModel, config: LicenceConfig = LicenceCo
     # The weight table has as many rows as the templates have n-grams.
     sums = (
         exploded.join(F.broadcast(weights), "gram").groupBy("doc_id", "copy", "paragraph", "n_words")
-        .agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)], *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(families))])
+        .agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)], *[F.sum(f"{t}{i}").alias(f"{t}{i}") for t in "tu" for i in range(len(families))])
     )
     scale = F.sqrt(2 * F.col("n_words") - 1)
     logits = F.array(*[(F.col(f"w{i}") / scale + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)])
@@ -188,11 +236,12 @@ def scan(docs: DataFrame, model: LicenceModel, config: LicenceConfig = LicenceCo
         .withColumn("probability", F.element_at("power", F.col("best")) / F.col("total"))
     )
     names = F.array(*[F.lit(c) for c in families])
-    share = F.element_at(F.array(*[F.col(f"t{i}") for i in range(len(families))]), F.col("best")) / F.greatest(F.col("n_words") - 1, F.lit(1))
-    sure = (F.col("probability") >= model.limit) & (F.col("class") == F.col("best"))
+    told, own = (F.element_at(F.array(*[F.col(f"{t}{i}") for i in range(len(families))]), F.col("best")) for t in "tu")
+    share = F.when(own > 0, own / (F.col("n_words") - 1 - told + own)).otherwise(0.0)
+    sure = (F.col("probability") >= model.limit) & (F.col("class") == F.col("best")) & (share >= model.least_share)
     # A family without any word pair of its templates is no more than a stray word.
-    told = (F.col("class") == len(families) + 1) | (share > 0)
-    return judged.where(told).select(
+    licence = (F.col("class") == len(families) + 1) | (share > 0)
+    return judged.where(licence).select(
         "doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("n_words").cast("long").alias("n_words"),
         F.when(sure, F.element_at(names, F.col("best"))).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"),
         F.round(share, 6).alias("template_share"), (sure & (share >= config.confirm_share)).alias("confirmed"),

@@ -10,6 +10,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "apache": (
@@ -27,6 +29,8 @@ TEMPLATES = {
         "Released under the GPL, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "GNU Affero General Public License version 3",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -38,6 +42,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties are disclaimed.',
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
     ),
     "cc-by": (
@@ -64,6 +70,9 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1; you may not use this file except in compliance with the License.",
+        "Mozilla Public License Version 2.0",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -80,6 +89,8 @@ UNKNOWN = (
     "See the LICENSE file for the terms.",
     "This work is licensed under the terms below.",
     "Distributed under a custom license agreement.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This library may be used and distributed under the same terms as the language itself, the Artistic License.",
     "The license of this package is described in the documentation.",
     "Use of this material is subject to the license terms of the vendor.",
     "This software is provided under a license that permits internal use only.",

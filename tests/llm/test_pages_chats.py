@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelore.llm import chat_format, html_main, licence
 from pagelore.llm.queries import llm_oracles
@@ -178,6 +179,55 @@ def test_licences_are_found_and_prose_is_not(spark):
     assert licence.scan(spark.createDataFrame([], DOCS), model).collect() == []
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "mpl": """# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "apache": """ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+#: Licences that no template and no example of unknown wording names, and one that an example has.
+STRANGE = (
+    "Licensed under the EUPL, version 1.2.",
+    "Boost Software License - Version 1.0 - August 17th, 2003",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Licensed under the Zope Public License, Version 2.1.",
+    "Licensed under the terms of the PostgreSQL License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+)
+
+
+def test_wrapped_licences_are_one_paragraph_and_strange_ones_unknown(spark):
+    docs = documents(spark, [(k, prose(k, 80) + "\n" + prose(1000 + k, 40)) for k in range(60)])
+    model = licence.train(docs)
+    texts = [(k, prose(k, 20) + "\n" + t + "\n" + prose(k, 20)) for k, t in enumerate(WRAPPED.values())]
+    got = licence.scan(documents(spark, texts), model).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in got) == [(k, 1, f, True) for k, f in enumerate(WRAPPED)]
+    got = licence.scan(documents(spark, list(enumerate(STRANGE))), model).collect()
+    assert not any(r.confirmed for r in got)
+    assert sum(r.family == "unknown" for r in got) >= len(STRANGE) - 1
+
+
+def test_paragraphs_end_with_a_sentence(spark):
+    def of(text):
+        return spark.createDataFrame([(text,)], "text string").select(licence.paragraphs(F.col("text")).alias("p")).first().p
+
+    long = "word " * 12
+    assert of(f"{long}one,\nTwo {long}\n// three {long}\r\n * four.\nfive\nsix\n\nseven") == [
+        f"{long}one, Two {long} three {long}\r four.", "five", "six", "", "seven"
+    ]
+    assert of("") == [""] and of(f"{long}\n") == [long, ""] and of(None) is None
+    assert len(of(long + " " * 200_000 + "\nb")) == 2
+
+
 def test_crafted_pages_are_read_in_linear_time():
     import time
 
