@@ -38,10 +38,11 @@ class LicenceConfig:
 
 
 #: A line break inside a sentence, with the comment marks of the next line: the line before has over 50
-#: characters and ends in no mark, and the next begins with a small letter; or the line before ends in a comma.
+#: characters and ends in no mark, and the next begins with a small letter; or the line before ends in a
+#: comma, and the next does not begin like a sentence, with a capital and a small letter.
 WRAP = (
     r"\n(?:(?<=[^\n]{50}[^.!?:;\s][ \t\r]{0,8}\n)[ \t#*/;%>]{0,40}(?=\p{Ll})"
-    r"|(?<=[^\n]{50},[ \t\r]{0,8}\n)[ \t#*/;%>]{0,40}(?=\S))"
+    r"|(?<=[^\n]{50},[ \t\r]{0,8}\n)[ \t#*/;%>]{0,40}(?=[^\s#*/;%>])(?!\p{Lu}\p{Ll}))"
 )
 
 

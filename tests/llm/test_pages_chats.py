@@ -221,9 +221,11 @@ def test_paragraphs_end_with_a_sentence(spark):
         return spark.createDataFrame([(text,)], "text string").select(licence.paragraphs(F.col("text")).alias("p")).first().p
 
     long = "word " * 12
-    assert of(f"{long}one,\nTwo {long}\n// three {long}\r\n * four.\nfive\nsix\n\nseven") == [
-        f"{long}one, Two {long} three {long}\r four.", "five", "six", "", "seven"
+    assert of(f"{long}one,\nTWO {long}\n// three {long}\r\n * four.\nfive\nsix\n\nseven") == [
+        f"{long}one, TWO {long} three {long}\r four.", "five", "six", "", "seven"
     ]
+    # A sentence of its own stays one.
+    assert of(f"{long}one,\nLicensed under\n{long},\n  # (two)") == [f"{long}one,", "Licensed under", f"{long}, (two)"]
     assert of("") == [""] and of(f"{long}\n") == [long, ""] and of(None) is None
     assert len(of(long + " " * 200_000 + "\nb")) == 2
 
