@@ -237,3 +237,40 @@ def test_model_encoder_and_checks(spark):
         embed_chunks(chunks, ModelEncoder(Toy, EmbedConfig(dimension=4))).collect()
     with pytest.raises(Exception, match="missing required field 'text'"):
         embed_chunks(chunks.withColumn("text", F.lit("")), ENC).collect()
+
+
+def test_nearest_scan_betters_few_questions_at_a_time(spark):
+    """Blocks of 600 questions over one file of 5000 points, with copies of one vector: all cores, exact ties by id."""
+    from pagelore.operators import nearest
+
+    rng = np.random.default_rng(5)
+    points = [(f"p{i:05d}", [1.0, 2.0, 3.0, 4.0] if i % 7 == 0 else [float(x) for x in rng.integers(-9, 10, 4)]) for i in rng.permutation(5000)]
+    asked = [(f"q{i:03d}", [1.0, 2.0, 3.0, 4.0] if i % 9 == 0 else [float(x) for x in rng.integers(-9, 10, 4)]) for i in range(600)]
+    asked[1] = ("q001", [0.0] * 4)
+    one = spark.createDataFrame(points, "id string, vector array<float>").coalesce(1)
+    qdf = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    assert nearest._DEALT_PAIRS > 600 * 5000
+    unit = lambda v: np.asarray(v) / (np.linalg.norm(v) or 1.0)
+    names, matrix = [q for q, _ in asked], np.array([unit(v) for _, v in asked])
+    top = nearest._Top(names, matrix, 5, 9)
+    by_id = sorted(points)
+    merged = []
+    merge = top._merge
+    top._merge = lambda *a: (merged.append(len(a[4])), merge(*a))[1]
+    import pyarrow as pa
+
+    for at in range(0, 5000, 1000):
+        part = by_id[at : at + 1000]
+        top.add(pa.array([i for i, _ in part]), np.array([unit(v) for _, v in part]))
+    got = {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in nearest_points(one, qdf, 5).collect()}
+    assert got == _brute(points, asked, 5, 4)
+    assert {(q, i) for q, i, _ in zip(*[c.to_pylist() for c in top.columns()])} == {(q, i) for q, i, _, _ in got}
+    # Questions that already have k points of score 1, or no direction, are not looked at again.
+    assert sum(merged) < 600 * 5000 / 20
+    nearest_dealt, nearest._DEALT_PAIRS = nearest._DEALT_PAIRS, 1000
+    try:
+        found = nearest_points(one, qdf, 5)
+        assert "hashpartitioning(id" in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in found.collect()} == got
+    finally:
+        nearest._DEALT_PAIRS = nearest_dealt
