@@ -227,3 +227,32 @@ def test_cdata_is_text(spark):
     page = "<main><svg><text>a<![CDATA[ x < y ]]>b</text></svg></main>"
     nodes = spark.createDataFrame([(page,)], "html string").select(html_nodes(F.col("html")).alias("n")).first().n
     assert [t.text for t in nodes.texts] == ["a", "x < y", "b"]
+
+
+def test_nodes_of_a_batch_are_held_part_by_part(monkeypatch):
+    """Python objects grow with a part of the batch, not with the batch; the nodes stay the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagelore.sources import html_nodes as h
+
+    made = []
+    monkeypatch.setattr(h.F, "arrow_udf", lambda f, kind: lambda column: made.append(f))
+    h.html_nodes(None)
+    page = "<title>t</title>" + "<p>a <a href='/x'>b</a></p>" * 40
+
+    def peak(n):
+        pages = pa.array([None if i % 97 == 0 else f"{page}<i>{i}</i>" for i in range(n)], pa.string())
+        tracemalloc.start()
+        nodes = made[0](pages)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(nodes) == n
+        return held, nodes
+
+    small, _ = peak(400)
+    large, nodes = peak(4000)
+    assert large < 2 * small
+    assert nodes[97].as_py() is None and nodes[3999].as_py()["texts"][-1] == {"text": "3999", "hidden": False}
+    assert len(made[0](pa.array([], pa.string()))) == 0
