@@ -274,3 +274,42 @@ def test_nearest_scan_betters_few_questions_at_a_time(spark):
         assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in found.collect()} == got
     finally:
         nearest._DEALT_PAIRS = nearest_dealt
+
+
+def test_distinct_words_are_hashed_once_a_batch(monkeypatch):
+    """A word that comes often costs one hash, and lies in the bucket of its own digest."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from pagelore.operators import embedding
+
+    made = []
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda f, kind: lambda column: made.append(f))
+    monkeypatch.setattr(embedding, "lexical_words", lambda text: text)
+    HashedWords(EmbedConfig(dimension=8)).encode(None)
+    words = [["red", "fox", "red"], None, [], ["dog"] * 1000]
+    got = made[0](pa.array(words, pa.list_(pa.string()))).to_pylist()
+    for row, vector in zip(words, got, strict=True):
+        want = np.zeros(8)
+        for w in row or []:
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+        norm = np.linalg.norm(want) or 1.0
+        assert np.allclose(vector, want / norm, atol=1e-7)
+
+
+def test_whole_points_are_shuffled_only_where_an_id_repeats(spark, tmp_path, monkeypatch):
+    from pagelore.operators import points as p
+
+    def rows(*ids):
+        kept = [(i, [1.0, float(n)], f"d{i}", "u", n) for n, i in enumerate(ids)]
+        return spark.createDataFrame(kept, "id string, vector array<float>, document_id string, url string, place int")
+
+    used, latest = [], p.latest_points
+    monkeypatch.setattr(p, "latest_points", lambda *a: (used.append(1), latest(*a))[1])
+    p.index_points(rows("a", "b", "c"), f"{tmp_path}/t", 2)
+    p.upsert_points(rows("c", "d").drop("place").withColumn("place", F.lit(7)), f"{tmp_path}/t")
+    assert not used
+    assert sorted((r.id, r.place) for r in p.read_points(spark, f"{tmp_path}/t").collect()) == [("a", 0), ("b", 1), ("c", 7), ("d", 7)]
+    p.index_points(rows("a", "b", "a"), f"{tmp_path}/u", 2, order="place")
+    assert used and sorted((r.id, r.vector[1]) for r in p.read_points(spark, f"{tmp_path}/u").collect()) == [("a", 2.0), ("b", 1.0)]
