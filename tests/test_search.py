@@ -276,6 +276,45 @@ def test_nearest_scan_betters_few_questions_at_a_time(spark):
         nearest._DEALT_PAIRS = nearest_dealt
 
 
+def test_pairs_of_blocks_and_splits_meet_in_many_tasks(spark):
+    """With a task for every group, a block of questions still meets every split of the points."""
+    points = [(f"p{i:04d}", v) for i, v in enumerate(_vectors(400, 4, 3))]
+    asked = [(f"q{i}", v) for i, v in enumerate(_vectors(40, 4, 4)) if v and len(v) == 4]
+    pdf = spark.createDataFrame(points, "id string, vector array<float>")
+    qdf = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("false", "16")):
+            spark.conf.set(name, value)
+        got = nearest_points(pdf, qdf, 5, block_bytes=20 * 4 * 8).collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(points, asked, 5, 4)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150 * 4 * 8])
+def test_nearest_starts_from_the_bar_of_a_sample(spark, monkeypatch, block_bytes):
+    """A question's bar is no higher than its k-th best score, and only what reaches it is sent on."""
+    from pagelore.operators import nearest
+
+    rng = np.random.default_rng(6)
+    points = [(f"p{i:05d}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(1000)]
+    asked = [(f"q{i:03d}", v) for i, v in enumerate(_vectors(300, 4, 7)) if v and len(v) == 4]
+    pdf = spark.createDataFrame(points, "id string, vector array<float>")
+    qdf = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    want = _brute(points, asked, 5, 4)
+    monkeypatch.setattr(nearest, "_DEALT_PAIRS", 1000)
+    bars, with_least = [], nearest._with_least
+    monkeypatch.setattr(nearest, "_with_least", lambda *a: bars.append(with_least(*a)) or bars[0])
+    got = nearest_points(pdf, qdf, 5, block_bytes=block_bytes).collect()
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == want
+    fifth = {q: score for q, _, score, rank in want if rank == 5}
+    least = {r.query_id: r.least for r in bars[0].collect()}
+    assert least.keys() == fifth.keys() and all(-1.0 < least[q] <= fifth[q] + 1e-6 for q in fifth)
+
+
 def test_distinct_words_are_hashed_once_a_batch(monkeypatch):
     """A word that comes often costs one hash, and lies in the bucket of its own digest."""
     import hashlib
