@@ -315,6 +315,49 @@ def test_nearest_starts_from_the_bar_of_a_sample(spark, monkeypatch, block_bytes
     assert least.keys() == fifth.keys() and all(-1.0 < least[q] <= fifth[q] + 1e-6 for q in fifth)
 
 
+def test_nearest_sends_few_partial_results(spark, monkeypatch):
+    """The sample is as large as the work asks for, so little more than the results reaches the shuffle."""
+    from pagelore.operators import nearest
+
+    rng = np.random.default_rng(8)
+    points = [(f"p{i:05d}", [float(x) for x in rng.normal(size=8)]) for i in range(4000)]
+    asked = [(f"q{i:03d}", [float(x) for x in rng.normal(size=8)]) for i in range(200)]
+    pdf = spark.createDataFrame(points, "id string, vector array<float>")
+    qdf = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    monkeypatch.setattr(nearest, "_DEALT_PAIRS", 1000)
+    sent, first_per_key = [], nearest.first_per_key
+    monkeypatch.setattr(nearest, "first_per_key", lambda found, *a: (sent.append(found.count()), first_per_key(found, *a))[1])
+    got = nearest_points(pdf, qdf, 5, tasks=16).collect()
+    normal = [(i, [float(np.float32(x)) for x in v]) for i, v in points]
+    single = [(i, [float(np.float32(x)) for x in v]) for i, v in asked]
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(normal, single, 5, 8)
+    assert sent[0] < 2 * 5 * len(asked)
+
+
+def test_a_bar_is_reached_by_k_points_of_the_sample():
+    """Also where some vectors are no numbers, questions have no direction, or there are fewer points than k."""
+    from pagelore.operators import nearest
+
+    rng = np.random.default_rng(9)
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    sample, matrix = unit(rng.normal(size=(1500, 8))).astype(np.float32), unit(rng.normal(size=(700, 8)))
+    matrix[5], sample[::50] = 0.0, np.nan
+    kth = np.sort(np.nan_to_num(matrix @ sample.T.astype(np.float64), nan=-2.0), axis=1)[:, -6]
+    least = nearest._least_scores(matrix, sample, 6, 9)
+    assert (least < kth).all() and np.mean(kth - least) < 0.01
+    assert (nearest._least_scores(matrix, sample[:5], 6, 9) == -np.inf).all()
+
+
+def test_a_point_that_is_no_number_hides_no_other(spark):
+    """One infinite component makes all scores of a point no numbers; a tile's other points are still found."""
+    points = [(f"p{i:04d}", v) for i, v in enumerate(_vectors(600, 4, 10))]
+    asked = [(f"q{i:03d}", v) for i, v in enumerate(_vectors(60, 4, 11)) if v and len(v) == 4]
+    odd = [(f"x{i}", [float("inf"), 1.0, 0.0, 0.0]) for i in range(3)]
+    pdf = spark.createDataFrame(points + odd, "id string, vector array<float>")
+    got = nearest_points(pdf, spark.createDataFrame(asked, "query_id string, vector array<float>"), 5).collect()
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(points, asked, 5, 4)
+
+
 def test_distinct_words_are_hashed_once_a_batch(monkeypatch):
     """A word that comes often costs one hash, and lies in the bucket of its own digest."""
     import hashlib
