@@ -5,7 +5,7 @@ import time
 import pytest
 
 from pagelore.config import CrawlConfig
-from pagelore.sources.fetch import COLUMNS, Pace, PageSource, fetch_over_http
+from pagelore.sources.fetch import COLUMNS, Pace, PageSource, fetch_from_table, fetch_over_http
 
 
 class FakeClock:
@@ -100,3 +100,16 @@ def test_requests_of_a_host_keep_their_distance(spark):
         times = sorted(float(r.html) for r in rows if f"//{host}." in r.url)
         # In all one request per delay: n requests take at least about n - 2 delays.
         assert times[-1] - times[0] >= 0.4 * (len(times) - 3)
+
+
+def test_stored_pages_that_are_not_asked_for_are_not_shuffled(spark):
+    """Pages meet a small frontier before they are compared; repeated and absent URLs answer as before."""
+    cfg = CrawlConfig(canonical_host="kb.example.org", bare_host="example.org", max_pages=None)
+    host = cfg.canonical_host
+    rows = [(f"https://{host}/p/{i % 40}" + "/" * (i // 40), f"html {i}") for i in range(80)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    asked = spark.createDataFrame([(f"https://{host}/p/{i}",) for i in (3, 3, 7, 99)], "url string")
+    got = fetch_from_table(asked, pages, cfg)
+    found = sorted((r.url.rsplit("/", 1)[1], r.html, r.status_code) for r in got.collect())
+    assert found == [("3", "html 3", 200)] * 2 + [("7", "html 7", 200), ("99", None, 404)]
+    assert "Join LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
