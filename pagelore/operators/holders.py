@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.operators.points import read_points, upsert_points, write_points
+from pagelore.operators.points import read_points, upsert_stored, write_points
 from pagelore.session import Scratch, path_exists
 
 _ORDER = ("arrival", "canonical_url", "document_id", "chunk_index", "id")
@@ -22,6 +22,21 @@ def first_holders(rows: DataFrame) -> DataFrame:
     return first.select("chunk_hash", "first.document_id", "first.id")
 
 
+def _each_id_once(new: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of every id; only rows whose id comes again are compared as a whole."""
+    ids = new.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    again = scratch.keep(ids.filter("n > 1").select("_id"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    repeated = new.join(again, same, "left_semi").dropDuplicates(["id"])
+    return new.join(again, same, "left_anti").unionByName(repeated)
+
+
+def _with_ids(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose id is wanted, found by the ids that are not: those are few where most rows are."""
+    rest = scratch.keep(rows.select("id").join(wanted, "id", "left_anti"))
+    return rows.join(rest, "id", "left_anti")
+
+
 def replace_documents(new: DataFrame, gone: DataFrame, points_path: str, dimension: int) -> None:
     """Put the points ``new`` in place of all points of the documents ``gone`` (document_id).
 
@@ -33,14 +48,14 @@ def replace_documents(new: DataFrame, gone: DataFrame, points_path: str, dimensi
     spark, holders_path = new.sparkSession, f"{points_path}/_holders"
     with Scratch(spark, "holders") as scratch:
         if not path_exists(spark, f"{holders_path}/_notes"):
-            fresh = scratch.keep(new.dropDuplicates(["id"]).withColumn("arrival", F.lit(0)))
+            fresh = scratch.keep(_each_id_once(new, scratch).withColumn("arrival", F.lit(0)))
             first = first_holders(fresh).select("id")
-            write_points(fresh.drop("arrival").join(first, "id", "left_semi"), points_path, dimension)
+            write_points(_with_ids(fresh.drop("arrival"), first, scratch), points_path, dimension)
             write_points(fresh, holders_path, dimension)
             return
         before = read_points(spark, holders_path)
         arrival = before.agg(F.coalesce(F.max("arrival"), F.lit(-1))).first()[0] + 1
-        fresh = scratch.keep(new.dropDuplicates(["id"]).withColumn("arrival", F.lit(arrival)))
+        fresh = scratch.keep(_each_id_once(new, scratch).withColumn("arrival", F.lit(arrival)))
         gone = scratch.keep(gone.select("document_id").unionByName(fresh.select("document_id")).distinct())
         narrow = ("chunk_hash", *_ORDER)
         lost = before.join(gone, "document_id", "left_semi").select("chunk_hash")
@@ -51,7 +66,9 @@ def replace_documents(new: DataFrame, gone: DataFrame, points_path: str, dimensi
         settled = first_holders(held).join(gone, "document_id", "left_anti").select("id")
         first = first_holders(stay.unionByName(fresh.select(*narrow))).join(settled, "id", "left_anti")
         first = scratch.keep(first.select("id"))
-        handed_on = before.join(gone, "document_id", "left_anti").join(first, "id", "left_semi")
-        rows = scratch.keep(handed_on.unionByName(fresh.join(first, "id", "left_semi").select(*before.columns)).drop("arrival"))
-        upsert_points(rows, points_path, replaced=gone)
-        upsert_points(fresh.select(*before.columns), holders_path, replaced=gone)
+        # Ids of the holders that stay: whole rows of the holder table meet these alone.
+        passed = scratch.keep(stay.select("id").join(first, "id", "left_semi"))
+        handed_on = before.join(passed, "id", "left_semi")
+        rows = scratch.keep(handed_on.unionByName(_with_ids(fresh, first, scratch).select(*before.columns)).drop("arrival"))
+        upsert_stored(rows, points_path, replaced=gone)
+        upsert_stored(fresh.select(*before.columns), holders_path, replaced=gone)

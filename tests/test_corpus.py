@@ -9,6 +9,7 @@ from pagelore.config import CrawlConfig, EmbedConfig
 from pagelore.operators import points as P
 from pagelore.operators.embedding import HashedWords
 from pagelore.operators.first_wins import first_per_key, repeated_groups
+from pagelore.operators.holders import replace_documents
 from pagelore.operators.joins import hot_keys, join_unique
 from pagelore.operators.validation import (
     build_manifest,
@@ -248,6 +249,58 @@ def test_upserts_add_files_and_replace_documents(spark, tmp_path):
     assert len([p for p in (tmp_path / "points").iterdir() if p.name.startswith("data-")]) == 1
 
 
+def test_a_large_delta_of_new_rows_becomes_a_base_folder(spark, tmp_path):
+    """Stored rows are written again only where an id or a document of them is replaced."""
+    path = str(tmp_path / "points")
+
+    def add(names, title, **more):
+        P.upsert_points(_points(spark, [(d, c, c, "t", title, [1.0, 0.0]) for d, c in names]), path, **more)
+
+    def kinds():
+        return [p.kind for p in P.table_description(spark, path).parts]
+
+    P.index_points(_points(spark, [(f"d{i}", f"c{i}", f"c{i}", "t", "old", [1.0, 0.0]) for i in range(10)]), path, 2)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "points").rglob("*.parquet")}
+    add([(f"e{i}", f"e{i}") for i in range(6)] * 2, "new", replace_documents=True)
+    assert kinds() == ["base", "base"]
+    P.drop_old_versions(spark, path)
+    assert {p: p.stat().st_mtime_ns for p in before} == before
+    assert sorted(r.chunk_id for r in P.read_points(spark, path).collect()) == sorted([f"c{i}" for i in range(10)] + [f"e{i}" for i in range(6)])
+    # A few rows stay a delta; many that replace an id, or a document, are folded in.
+    add([("f0", "f0")], "new")
+    assert kinds() == ["base", "base", "delta"]
+    add([("d1", "c1"), *((f"g{i}", f"g{i}") for i in range(5))], "again")
+    assert kinds() == ["base"]
+    add([("g1", "x1"), *((f"h{i}", f"h{i}") for i in range(7))], "more", replace_documents=True)
+    assert kinds() == ["base"]
+    shown = {r.chunk_id: r.title for r in P.read_points(spark, path).collect()}
+    assert len(shown) == 10 + 6 + 1 + 5 - 1 + 8 and shown["c1"] == "again" and "g1" not in shown and shown["x1"] == "more"
+
+
+def test_passages_pass_on_while_ids_come_again(spark, tmp_path):
+    path = str(tmp_path / "points")
+
+    def rows(*passages):
+        return P.build_points(spark.createDataFrame(
+            [(d, f"{d}__{h}", h, "t", f"u/{d}", [1.0, 0.0], i) for d, h, i in passages],
+            "document_id string, chunk_id string, chunk_hash string, text string, canonical_url string, embedding array<float>, chunk_index int"), 2)
+
+    def shown():
+        return sorted((r.document_id, r.chunk_hash) for r in P.read_points(spark, path).collect())
+
+    first = rows(("a", "p", 0), ("a", "p", 1), ("a", "q", 2), ("b", "p", 0))
+    replace_documents(first, first, path, 2)
+    assert shown() == [("a", "p"), ("a", "q")]
+    more = rows(("c", "p", 0), ("c", "r", 1), ("c", "r", 2), ("d", "s", 0))
+    replace_documents(more, more, path, 2)
+    assert shown() == [("a", "p"), ("a", "q"), ("c", "r"), ("d", "s")]
+    again = rows(("a", "q", 0), ("a", "q", 1))
+    replace_documents(again, again, path, 2)
+    assert shown() == [("a", "q"), ("b", "p"), ("c", "r"), ("d", "s")]
+    replace_documents(again.limit(0), rows(("b", "p", 0)), path, 2)
+    assert shown() == [("a", "q"), ("c", "p"), ("c", "r"), ("d", "s")]
+
+
 def test_a_write_that_failed_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "points")
     P.index_points(_points(spark, [("d", "c", "h", "t", "old", [1.0, 0.0])]), path, 2)
