@@ -395,3 +395,20 @@ def test_whole_points_are_shuffled_only_where_an_id_repeats(spark, tmp_path, mon
     assert sorted((r.id, r.place) for r in p.read_points(spark, f"{tmp_path}/t").collect()) == [("a", 0), ("b", 1), ("c", 7), ("d", 7)]
     p.index_points(rows("a", "b", "a"), f"{tmp_path}/u", 2, order="place")
     assert used and sorted((r.id, r.vector[1]) for r in p.read_points(spark, f"{tmp_path}/u").collect()) == [("a", 2.0), ("b", 1.0)]
+
+
+def test_blocks_and_splits_are_as_large_as_what_is_sent(spark, monkeypatch):
+    """Points go out once for every block and questions once for every split: half as many of both for floats."""
+    from pagelore.operators import nearest
+
+    points = [(f"p{i:04d}", v) for i, v in enumerate(_vectors(400, 4, 3))]
+    asked = [(f"q{i}", v) for i, v in enumerate(_vectors(160, 4, 4)) if v and len(v) == 4]
+    dealt, paired = [], nearest._paired
+    monkeypatch.setattr(nearest, "_STEP_POINTS", 16)
+    monkeypatch.setattr(nearest, "_paired", lambda *a: dealt.append(a[-2:]) or paired(*a))
+    for kind in ("float", "double"):
+        pdf = spark.createDataFrame(points, f"id string, vector array<{kind}>")
+        qdf = spark.createDataFrame(asked, f"query_id string, vector array<{kind}>")
+        got = nearest_points(pdf, qdf, 5, block_bytes=20 * 4 * 8).collect()
+        assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(points, asked, 5, 4)
+    assert dealt == [(-(-len(asked) // 40), 10), (-(-len(asked) // 20), 20)]
