@@ -412,3 +412,20 @@ def test_blocks_and_splits_are_as_large_as_what_is_sent(spark, monkeypatch):
         got = nearest_points(pdf, qdf, 5, block_bytes=20 * 4 * 8).collect()
         assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(points, asked, 5, 4)
     assert dealt == [(-(-len(asked) // 40), 10), (-(-len(asked) // 20), 20)]
+
+
+def test_larger_samples_leave_few_partial_results_of_blocks(spark, monkeypatch):
+    """The first sample is as large as a block; later ones raise the bar before all points are met."""
+    from pagelore.operators import nearest
+
+    rng = np.random.default_rng(9)
+    points = [(f"p{i:05d}", [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(3000)]
+    asked = [(f"q{i:03d}", [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(60)]
+    pdf = spark.createDataFrame(points, "id string, vector array<float>")
+    qdf = spark.createDataFrame(asked, "query_id string, vector array<float>")
+    monkeypatch.setattr(nearest, "_DEALT_PAIRS", 1000)
+    sent, paired = [], nearest._paired
+    monkeypatch.setattr(nearest, "_paired", lambda *a: (sent.append(paired(*a)), sent[-1])[1])
+    got = nearest_points(pdf, qdf, 5, block_bytes=40 * 8 * 8).collect()
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == _brute(points, asked, 5, 8)
+    assert sent[-1].count() < 2 * nearest._GROWTH * 5 * len(asked)
